@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import langid, licences, packing
+from matchloom.llm import htmltext, langid, licences, packing, sharding
 from matchloom.llm.common import table
 
 
@@ -17,6 +17,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_min_cost_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, laid out by source on 32 shards, moved to 40 shards of near equal bytes."""
+    out, _ = sharding.reshard(table(spark, sf_dir, "documents"), "pmod(crc32(coalesce(source, '')), 32)", 32, 40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those with crc32(doc_id) mod 4 other than 2."""
     docs = table(spark, sf_dir, "documents")
@@ -32,11 +38,16 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and tags of every document."""
     return licences.scan_licences(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op3_language_id, op5_packing, op8_license_scan)
+    named = (op1_min_cost_reshard, op3_language_id, op5_packing, op6_html_main_text, op8_license_scan)
     return {f.__name__: f for f in named}
