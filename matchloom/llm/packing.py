@@ -12,6 +12,8 @@ often as they occur; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,16 +22,32 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import arrow_batches, materialise, maybe_broadcast
+from matchloom.llm.common import arrow_batches, materialise, maybe_broadcast, utf8_buffer
 
 #: Words whose ids a worker remembers; further words are encoded batch by batch.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 900_000
+
+SPACED = np.arange(256, dtype=np.uint8)
+SPACED[[9, 10, 13]] = 32
+SPACED_LOWER = SPACED.copy()
+SPACED_LOWER[65:91] += 32
 
 _cache: dict[str, dict[str, bytes]] = {}
 
 
+#: A word of letters that lower-casing maps one to one, and marks behind it: two pieces to the tokenizers below.
+PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: The piece pattern that PLAIN_WORD is right for.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class WordEncoder:
-    """Whole-text ids of a tokenizer whose pieces never cross blanks, remembered per word."""
+    """Whole-text ids, as the tokenizer gives them, by way of words.
+
+    For lower-casing tokenizers that cut at white space and by PIECES, each distinct word
+    is encoded once and remembered; plain words go to the merges without normalising.
+    Other tokenizers get whole texts.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -38,40 +56,72 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        raw = json.loads(self.tokenizer.to_str())
+        steps = [raw["normalizer"], *((raw["normalizer"] or {}).get("normalizers") or [])]
+        cuts = [c.get("pattern", {}).get("Regex") for c in (raw["pre_tokenizer"] or {}).get("pretokenizers") or []]
+        self.by_word = any(n and n["type"] == "Lowercase" for n in steps) and cuts == [PIECES, None]
+        if self.by_word:
+            plain = raw | {"normalizer": None, "pre_tokenizer": raw["pre_tokenizer"]["pretokenizers"][1], "added_tokens": []}
+            self.merges = Tokenizer.from_str(json.dumps(plain))
         self.known = _cache.setdefault(path, {})
 
-    def _encode(self, words: list[str]) -> dict[str, bytes]:
-        done = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+    @staticmethod
+    def _encode(tokenizer: object, words: list[str]) -> dict[str, bytes]:
+        if not words:
+            return {}
+        done = tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
         ids, owner = np.array(done.ids, dtype="<u4"), np.array(done.word_ids, dtype=np.int64)
         raw, cuts = ids.tobytes(), (4 * np.searchsorted(owner, np.arange(len(words) + 1))).tolist()
         return {w: raw[cuts[k] : cuts[k + 1]] for k, w in enumerate(words)}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        # Only these four blanks separate words here; any other stays inside a word and is the tokenizer's to cut.
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        known, new = self.known, set()
-        for words in split:
-            new.update(words)
-        new.difference_update(known)
-        extra = self._encode(list(new)) if new else {}
+    def _new(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that are not remembered yet."""
+        match, known = PLAIN_WORD.fullmatch, self.known
+        halves, other = {}, []
+        for w in words:
+            if m := match(w):
+                halves[w] = m[1].lower(), m[2]
+            else:
+                other.append(w)
+        pieces = {x for pair in halves.values() for x in pair}
+        have = {x: known[x] for x in pieces if x in known}
+        have |= self._encode(self.merges, [x for x in pieces if x and x not in have])
+        have[""] = b""
+        out = self._encode(self.tokenizer, other)
+        for w, (a, b) in halves.items():
+            out[w] = have[a] + have[b]
         if len(known) < CACHE_WORDS:
-            known.update(extra)
-            look = known
-        else:
-            look = _Both(known, extra)
-        get = look.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-
-class _Both(dict):
-    """A batch's own words in front of the remembered ones."""
-
-    def __init__(self, known: dict[str, bytes], extra: dict[str, bytes]) -> None:
-        super().__init__(extra)
-        self.known = known
-
-    def __missing__(self, word: str) -> bytes:
-        return self.known[word]
+            known.update(have)
+            known.update(out)
+        return out
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and the texts' offsets into them."""
+        if not self.by_word:
+            each = [np.array(x.ids, dtype=np.uint32) for x in self.tokenizer.encode_batch_fast([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.uint32), *each]), np.cumsum([0, *map(len, each)])
+        data, offsets = utf8_buffer(column)
+        # Only these four blanks separate words here; any other stays inside a word and is the tokenizer's to cut.
+        # A-Z are lowered at once, but not beside combining marks (first bytes CC and CD), which normalising may join to them.
+        joined = (data == 0xCC).any() or (data == 0xCD).any()
+        data = np.insert((SPACED if joined else SPACED_LOWER)[data], offsets[1:], 32)
+        offsets = offsets + np.arange(len(offsets))
+        cuts = np.concatenate([[0], np.flatnonzero(data == 32) + 1])
+        words = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(data)).dictionary_encode()
+        # Every word ends with its only space.
+        distinct = utf8_buffer(words.dictionary)[0].tobytes().decode().split(" ")[:-1]
+        found = list(map(self.known.get, distinct))
+        if gaps := [k for k, x in enumerate(found) if x is None]:
+            new = self._new({distinct[k] for k in gaps})
+            for k in gaps:
+                found[k] = new[distinct[k]]
+        pool = np.frombuffer(b"".join(found), dtype="<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start = np.cumsum(size) - size
+        which = words.indices.to_numpy()
+        after = np.concatenate([[0], np.cumsum(size[which])])
+        at = np.repeat(start[which] - after[:-1], size[which]) + np.arange(after[-1])
+        return pool[at], after[np.searchsorted(cuts, offsets)]
 
 
 IDS = pa.schema([("doc_id", pa.int64()), ("part", pa.int64()), ("local_offset", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
@@ -79,17 +129,17 @@ IDS = pa.schema([("doc_id", pa.int64()), ("part", pa.int64()), ("local_offset",
 
 def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, part, local_offset, doc_tokens, ids as little-endian uint32), end id included."""
-    arrow_batches(docs.sparkSession, 2000)
-    end = np.array([end_id], dtype="<u4").tobytes()
+    arrow_batches(docs.sparkSession, 4000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, offset = WordEncoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            raw = [x + end for x in encoder.encode([t or "" for t in batch.column(1).to_pylist()])]
-            n = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-            starts = offset + np.cumsum(n) - n
-            offset += int(n.sum())
-            yield pa.record_batch([batch.column(0), pa.array(np.full(len(raw), part)), pa.array(starts), pa.array(n), pa.array(raw, pa.binary())], schema=IDS)
+            ids, at = encoder.encode(batch.column(1))
+            ids = np.insert(ids, at[1:], end_id).astype("<u4", copy=False)
+            at = at + np.arange(len(at))
+            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(4 * at), pa.py_buffer(ids)]).cast(pa.binary())
+            yield pa.record_batch([batch.column(0), pa.array(np.full(len(raw), part)), pa.array(offset + at[:-1]), pa.array(np.diff(at)), raw], schema=IDS)
+            offset += int(at[-1])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, part long, local_offset long, doc_tokens long, ids binary")
 
