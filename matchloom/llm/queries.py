@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import htmltext, langid, licences, packing, sharding
+from matchloom.llm import decontamination, htmltext, langid, licences, neardup, packing, sharding
 from matchloom.llm.common import table
 
 
@@ -32,6 +32,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents at a shingle similarity of 0.85."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into sequences of 4096 tokens."""
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), 4096, 2)
@@ -48,6 +53,11 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents, with the region that holds each."""
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_min_cost_reshard, op3_language_id, op5_packing, op6_html_main_text, op8_license_scan)
+    named = (op1_min_cost_reshard, op3_language_id, op4_minhash_odd_sketch, op5_packing, op6_html_main_text, op8_license_scan, op9_decontamination)
     return {f.__name__: f for f in named}
