@@ -30,6 +30,7 @@ ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 15
 MAX_TRAIN_DOCS = 20_000
 MAX_LANGUAGES = 256
+TRAIN_TASKS = 12
 #: n-grams that count as evidence for the score; longer texts are no surer than this.
 EVIDENCE = 50
 #: Bytes scored at once.
@@ -96,8 +97,8 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
         lang, bucket = np.nonzero(counts[:, :buckets])
         yield pa.record_batch([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(counts[lang, bucket])], names=["l", "b", "n"])
 
-    # Bounded by languages x buckets whatever the input.
-    got = rows.select("text", "lang").mapInArrow(count, "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow()
+    # The sample is bounded, so few tasks count it; what they send is bounded by languages x buckets each.
+    got = rows.select("text", "lang").repartition(TRAIN_TASKS).mapInArrow(count, "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((len(languages), buckets))
     counts[got["l"].to_numpy(), got["b"].to_numpy()] = got["n"].to_numpy()
     smooth = counts + 0.5
