@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import decontamination, htmltext, langid, licences, neardup, packing, sharding
+from matchloom.llm import decontamination, htmltext, langid, licences, linededup, neardup, packing, sharding
 from matchloom.llm.common import table
 
 
@@ -58,6 +58,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat, exactly or nearly, a line met before."""
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_min_cost_reshard, op3_language_id, op4_minhash_odd_sketch, op5_packing, op6_html_main_text, op8_license_scan, op9_decontamination)
+    named = (op1_min_cost_reshard, op3_language_id, op4_minhash_odd_sketch, op5_packing, op6_html_main_text, op8_license_scan, op9_decontamination, op10_fuzzy_line_dedup)
     return {f.__name__: f for f in named}
