@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import decontamination, htmltext, langid, licences, linededup, neardup, packing, sharding
+from matchloom.llm import decontamination, htmltext, langid, licences, linededup, neardup, packing, pii, sharding
 from matchloom.llm.common import table
 
 
@@ -48,6 +48,13 @@ def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, and the terms near it that give it away."""
+    found = pii.find_spans(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", pii.of_rank(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS[:4])]
+    return found.select("doc_id", *counts, F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"), pii.digest(F.array_sort(F.concat("base", "terms"))).alias("spans"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and tags of every document."""
     return licences.scan_licences(table(spark, sf_dir, "documents"))
@@ -64,5 +71,5 @@ def op10_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_min_cost_reshard, op3_language_id, op4_minhash_odd_sketch, op5_packing, op6_html_main_text, op8_license_scan, op9_decontamination, op10_fuzzy_line_dedup)
+    named = (op1_min_cost_reshard, op3_language_id, op4_minhash_odd_sketch, op5_packing, op6_html_main_text, op7_pii_disclosure, op8_license_scan, op9_decontamination, op10_fuzzy_line_dedup)
     return {f.__name__: f for f in named}
