@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import decontamination, htmltext, langid, licences, linededup, neardup, packing, pii, sharding
+from matchloom.llm import collisions, decontamination, htmltext, langid, licences, linededup, neardup, packing, pii, sharding
 from matchloom.llm.common import table
 
 
@@ -23,6 +23,11 @@ def op1_min_cost_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of embeddings at a cosine of 0.9."""
+    return collisions.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those with crc32(doc_id) mod 4 other than 2."""
     docs = table(spark, sf_dir, "documents")
@@ -71,5 +76,5 @@ def op10_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_min_cost_reshard, op3_language_id, op4_minhash_odd_sketch, op5_packing, op6_html_main_text, op7_pii_disclosure, op8_license_scan, op9_decontamination, op10_fuzzy_line_dedup)
+    named = (op1_min_cost_reshard, op2_collision_counting, op3_language_id, op4_minhash_odd_sketch, op5_packing, op6_html_main_text, op7_pii_disclosure, op8_license_scan, op9_decontamination, op10_fuzzy_line_dedup)
     return {f.__name__: f for f in named}
