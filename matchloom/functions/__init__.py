@@ -1 +1 @@
-"""Set-oriented record linkage on Spark."""
+"""Column functions: text keys, similarities, vectors, plane geometry, display formats."""

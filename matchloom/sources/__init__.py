@@ -1 +1 @@
-"""Set-oriented record linkage on Spark."""
+"""Readers, writers and table shapes."""

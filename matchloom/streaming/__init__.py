@@ -1 +1 @@
-"""Set-oriented record linkage on Spark."""
+"""Structured Streaming forms of admission and price refresh."""
