@@ -41,7 +41,7 @@ SKETCH_BITS = 512
 #: Members of a bucket compared in one task; larger buckets are split.
 TILE = 4096
 #: Closest mates tried in each round; None: all that are left.
-ROUNDS: tuple[int | None, ...] = (8, None)
+ROUNDS: tuple[int | None, ...] = (3, None)
 _WORDS = SKETCH_BITS // 64
 
 
@@ -119,13 +119,14 @@ def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def close_mates(members: DataFrame, most: int, k: int | None) -> DataFrame:
     """Candidate pairs (a, b) across components within tiles.
 
-    members: key, tile_i, tile_j, side, rep, component, main, sketch.  Pairs of classes in
-    the main component are skipped, as are pairs of one component; of the others each
-    class gets its k closest mates (all, where k is None).
+    members: key, tile_i, tile_j, side, rep, component, main, sketch, bands.  Pairs of
+    classes in the main component are skipped, as are pairs of one component; of the others
+    each class gets its k closest mates (all, where k is None).  A pair that shares several
+    keys is returned under the first of its bands only.
     """
     keys = ["key", "tile_i", "tile_j"]
 
-    def pairs(reps: np.ndarray, comp: np.ndarray, main: int, sk: np.ndarray, side: np.ndarray, own_tile: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(reps: np.ndarray, comp: np.ndarray, main: int, sk: np.ndarray, bands: np.ndarray, key: int, side: np.ndarray, own_tile: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         left = np.arange(len(reps)) if own_tile else np.flatnonzero(side == 0)
         right = np.arange(len(reps)) if own_tile else np.flatnonzero(side == 1)
         for one, two in ((left, right),) if own_tile else ((left, right), (right, left)):
@@ -139,19 +140,25 @@ def close_mates(members: DataFrame, most: int, k: int | None) -> DataFrame:
                     if k is not None and len(cols) > k:
                         nearest = np.argpartition(d, k - 1, axis=1)[:, :k]
                         r, n = np.nonzero(np.take_along_axis(d, nearest, 1) <= most)
-                        yield reps[rows[r]], reps[cols[nearest[r, n]]]
+                        r, n = rows[r], cols[nearest[r, n]]
                     else:
                         r, n = np.nonzero(d <= most)
-                        yield reps[rows[r]], reps[cols[n]]
+                        r, n = rows[r], cols[n]
+                    # Both of a pair may be outside the main component: it is taken once.
+                    twice = (comp[r] != main) & (comp[n] != main) & (reps[r] > reps[n]) if k is None else np.zeros(len(r), bool)
+                    equal = bands[r] == bands[n]
+                    first = bands[r, equal.argmax(axis=1)] == key if len(r) else np.zeros(0, bool)
+                    yield reps[r[first & ~twice]], reps[n[first & ~twice]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, keys):
             reps, comp, main, side = (table.column(c).to_numpy() for c in ("rep", "component", "main", "side"))
             i, j = table.column("tile_i").to_numpy(), table.column("tile_j").to_numpy()
             sk = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u8").reshape(-1, _WORDS)
-            at = bounds(table, keys)
+            bands = pa.concat_arrays(table.column("bands").chunks).flatten().to_numpy().reshape(-1, BANDS)
+            key, at = table.column("key").to_numpy(), bounds(table, keys)
             for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                for a, b in pairs(reps[s:e], comp[s:e], main[s], sk[s:e], side[s:e], i[s] == j[s]):
+                for a, b in pairs(reps[s:e], comp[s:e], main[s], sk[s:e], bands[s:e], key[s], side[s:e], i[s] == j[s]):
                     if len(a):
                         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
                         yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
@@ -221,8 +228,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, id_col:
         placed = materialise(placed, "nd-placed")
         sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
         mains = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("m.component").alias("main"))
-        open_members = placed.join(mains, "key").join(sketches, "rep")
-        found = close_mates(tiled(open_members, F.col("mates"), F.xxhash64("rep"), TILE).select("key", "tile_i", "tile_j", "side", "rep", "component", "main", "sketch"), most, k)
+        open_members = placed.join(mains, "key").join(classes.select("rep", "sketch", "bands"), "rep")
+        found = close_mates(tiled(open_members, F.col("mates"), F.xxhash64("rep"), TILE).select("key", "tile_i", "tile_j", "side", "rep", "component", "main", "sketch", "bands"), most, k)
         fresh = materialise(found.join(tried, ["a", "b"], "left_anti"), "nd-fresh")
         more = materialise(confirm(fresh, texts, width, percent), "nd-links")
         tried, links = tried.unionByName(fresh), links.unionByName(more)
