@@ -2,4 +2,74 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+EMBEDDINGS = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (
+  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v
+  WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9::DOUBLE),
+reach(id, other) AS (SELECT vec_id, vec_id FROM v UNION SELECT p.b, r.other FROM reach r JOIN pairs p ON p.a = r.id)
+SELECT v.vec_id, coalesce(l.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v LEFT JOIN (SELECT a, count(*) AS n FROM pairs GROUP BY a) l ON l.a = v.vec_id JOIN (SELECT id, min(other) AS component_id FROM reach GROUP BY id) c ON c.id = v.vec_id
+"""
+
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) END AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM s),
+e AS (SELECT doc_id, unnest(s) AS x FROM s),
+meets AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+pairs AS (SELECT a, b FROM meets JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 85 * (na.n + nb.n - i)),
+reach(id, other) AS (SELECT doc_id, doc_id FROM n UNION SELECT p.b, r.other FROM reach r JOIN pairs p ON p.a = r.id)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, c.component_id, n.doc_id = c.component_id AS kept
+FROM n JOIN (SELECT id, min(other) AS component_id FROM reach GROUP BY id) c ON c.id = n.doc_id
+"""
+
+PERSONAL_DATA = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS (
+  SELECT doc_id, t, 0 AS rank, 'email' AS kind, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS ms, string_split_regex(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS gs FROM d
+  UNION ALL SELECT doc_id, t, 1, 'ip', regexp_extract_all(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'), string_split_regex(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+') FROM d
+  UNION ALL SELECT doc_id, t, 2, 'card', regexp_extract_all(t, '[0-9](?:[ -]?[0-9])+'), string_split_regex(t, '[0-9](?:[ -]?[0-9])+') FROM d
+  UNION ALL SELECT doc_id, t, 3, 'phone', regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]'), string_split_regex(t, '\+[0-9][ ().0-9-]+[0-9]') FROM d),
+placed AS (
+  SELECT doc_id, t, rank, kind, ms[i] AS v, regexp_replace(ms[i], '[^0-9]', '', 'g') AS digits,
+    list_sum(list_transform(gs[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda m: length(m))), 0) AS s
+  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM found WHERE len(ms) > 0)),
+base AS (
+  SELECT doc_id, t, rank, kind, v, CAST(s AS BIGINT) AS s, CAST(s + length(v) AS BIGINT) AS e FROM placed WHERE CASE kind
+    WHEN 'ip' THEN len(list_filter(string_split(v, '.'), lambda p: length(ltrim(p, '0')) > 3 OR CAST('0' || left(ltrim(p, '0'), 4) AS INTEGER) > 255)) = 0
+    WHEN 'card' THEN length(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda k:
+      CASE WHEN k % 2 = 1 THEN CAST(substr(reverse(digits), k, 1) AS INTEGER) ELSE CAST(substr(reverse(digits), k, 1) AS INTEGER) * 2 - CASE WHEN CAST(substr(reverse(digits), k, 1) AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+    WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15 ELSE true END),
+sides AS (
+  SELECT doc_id, lower(v) AS entity, greatest(s - 80, 0) AS at0, substr(t, greatest(s - 80, 0) + 1, s - greatest(s - 80, 0)) AS part, true AS before FROM base
+  UNION ALL SELECT doc_id, lower(v), e, substr(t, e + 1, 80), false FROM base),
+trimmed AS (
+  SELECT doc_id, entity, CASE WHEN before AND at0 > 0 THEN at0 + length(part) - length(regexp_replace(part, '^[\p{L}\p{M}\p{N}_]+', '')) ELSE at0 END AS at0,
+    CASE WHEN before AND at0 > 0 THEN regexp_replace(part, '^[\p{L}\p{M}\p{N}_]+', '') WHEN NOT before AND length(part) = 80 THEN regexp_replace(part, '[\p{L}\p{M}\p{N}_]+$', '') ELSE part END AS part FROM sides),
+cut AS (SELECT doc_id, entity, at0, regexp_extract_all(part, '[\p{L}\p{M}\p{N}_]{3,}') AS ms, string_split_regex(part, '[\p{L}\p{M}\p{N}_]{3,}') AS gs FROM trimmed),
+words AS (
+  SELECT DISTINCT doc_id, entity, lower(ms[i]) AS term, CAST(at0 + list_sum(list_transform(gs[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda m: length(m))), 0) AS BIGINT) AS s, length(ms[i]) AS n
+  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM cut WHERE len(ms) > 0)),
+near AS (SELECT * FROM words w WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = w.doc_id AND b.s <= w.s + w.n AND w.s <= b.e)),
+pairs AS (SELECT entity, term, count(DISTINCT doc_id) AS both_df FROM near GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
+entity_df AS (SELECT lower(v) AS entity, count(DISTINCT doc_id) AS n FROM base GROUP BY 1),
+term_df AS (SELECT term, count(*) AS n FROM (SELECT unnest(list_distinct(string_split_regex(lower(t), '[^\p{L}\p{M}\p{N}_]+'))) AS term FROM d) WHERE term IN (SELECT term FROM pairs) GROUP BY 1),
+told AS (
+  SELECT p.entity, p.term FROM pairs p JOIN entity_df e USING (entity) JOIN term_df f USING (term), (SELECT count(*)::DOUBLE AS n FROM d) t
+  WHERE ln(t.n / e.n) > 0 AND ln(p.both_df * t.n / (f.n::DOUBLE * e.n)) >= 0.9::DOUBLE * ln(t.n / e.n)),
+spans AS (
+  SELECT doc_id, s, rank, e, kind FROM base
+  UNION ALL SELECT DISTINCT doc_id, s, 4, s + n, 'term' FROM near JOIN told USING (entity, term)),
+digests AS (
+  SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans,
+    count(*) FILTER (rank = 0) AS n_email, count(*) FILTER (rank = 1) AS n_ip, count(*) FILTER (rank = 2) AS n_card, count(*) FILTER (rank = 3) AS n_phone FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN digests USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op2_collision_counting": EMBEDDINGS, "op4_minhash_odd_sketch": NEAR_DUPLICATES, "op7_pii_disclosure": PERSONAL_DATA}
