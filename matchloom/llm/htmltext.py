@@ -103,7 +103,11 @@ class Tree:
 
     def _open(self, name: str, key: int) -> None:
         stack = self._stack
-        if stack and len(stack) >= MOST_DEPTH:
+        if not stack and name != "html":  # implied, as browsers do
+            self._open("html", 0)
+            if name not in ("head", "body"):
+                self._open("body", 0)
+        if len(stack) >= MOST_DEPTH:
             stack.pop()
         self.parent.append(stack[-1] if stack else -1)
         self.depth.append(len(stack))
