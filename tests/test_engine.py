@@ -24,14 +24,14 @@ def card(k, name, number, vector=None):
 
 
 def test_end_to_end_match(spark):
-    cards = spark.createDataFrame([card("sv-test-057", "Pikachu ex", "57", [0.1, 0.2]), card("b", "Raichu", "58", [0.2, -0.1])], CARD)
-    scans = spark.createDataFrame([("s", "Pikachu ex", "057/182", 0.985, [0.1, 0.2]), ("none", None, None, 0.9, None)], "scan_id string, raw_name string, raw_number string, ocr_quality double, embedding array<double>")
-    prices = spark.createDataFrame([("sv-test-057", 42.5, "USD", "fixture", None)], "card_id string, amount double, currency string, source string, updated_at timestamp")
+    cards = spark.createDataFrame([card("card-057", "Falcon ex", "57", [0.1, 0.2]), card("b", "Badger", "58", [0.2, -0.1])], CARD)
+    scans = spark.createDataFrame([("s", "Falcon ex", "057/182", 0.985, [0.1, 0.2]), ("none", None, None, 0.9, None)], "scan_id string, raw_name string, raw_number string, ocr_quality double, embedding array<double>")
+    prices = spark.createDataFrame([("card-057", 42.5, "USD", "fixture", None)], "card_id string, amount double, currency string, source string, updated_at timestamp")
     got = {r.scan_id: r for r in Engine().recognize(scans, cards, prices).collect()}
-    assert got["s"].status == "matched" and got["s"].card_id == "sv-test-057" and got["s"].amount == 42.5 and got["s"].confidence >= 0.82
+    assert got["s"].status == "matched" and got["s"].card_id == "card-057" and got["s"].amount == 42.5 and got["s"].confidence >= 0.82
     assert got["none"].status == "unrecognized" and got["none"].confidence == 0.0 and got["none"].message
     nested = {r.scan_id: r for r in Engine().responses(scans, cards, prices).collect()}
-    assert nested["s"].card.name == "Pikachu ex" and nested["s"].candidates[0].card.price.amount == 42.5
+    assert nested["s"].card.name == "Falcon ex" and nested["s"].candidates[0].card.price.amount == 42.5
     assert nested["none"].candidates == [] and nested["none"].card is None
 
 

@@ -17,8 +17,8 @@ def one(spark, column, rows, schema):
 
 
 def test_names(spark):
-    given_rows = [("  Pikachu V MAX ",), ("Mew E X",), ("ﬁne 0ak",), ("a%b_c",), ("STRASSE ß",), ("  ",), (None,), ("É clair!?",), ("Lugia V  star",), ("Z G x",)]
-    assert one(spark, text.normalize_name(F.col("x")), given_rows, "x string") == ["pikachu vmax", "mew ex", "fine oak", "a b_c", "strasse ss", None, None, "é clair", "lugia vstar", "z gx"]
+    given_rows = [("  Falcon V MAX ",), ("Otter E X",), ("ﬁne 0ak",), ("a%b_c",), ("STRASSE ß",), ("  ",), (None,), ("É clair!?",), ("Heron V  star",), ("Z G x",)]
+    assert one(spark, text.normalize_name(F.col("x")), given_rows, "x string") == ["falcon vmax", "otter ex", "fine oak", "a b_c", "strasse ss", None, None, "é clair", "heron vstar", "z gx"]
 
 
 def test_numbers(spark):
@@ -29,7 +29,7 @@ def test_numbers(spark):
 def test_similarities(spark):
     rows = [("6", "006"), ("6", "60"), ("6", "151"), (None, "1"), ("", "1"), ("sv1", "SV1"), ("0", "5")]
     assert one(spark, text.collector_similarity(F.col("a"), F.col("b")), rows, "a string, b string") == [1.0, 0.72, 0.0, 0.0, 0.0, 1.0, 0.0]
-    rows = [("charizard ex", "charizard ex"), ("charizard", "charizard ex"), (None, "x"), ("", "x"), ("a a b", "a b"), ("a", "")]
+    rows = [("dragon ex", "dragon ex"), ("dragon", "dragon ex"), (None, "x"), ("", "x"), ("a a b", "a b"), ("a", "")]
     assert one(spark, text.name_similarity(F.col("a"), F.col("b")), rows, "a string, b string") == [1.0, 0.5, 0.0, 0.0, 1.0, 0.0]
 
 
