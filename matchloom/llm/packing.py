@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from matchloom.llm.common import arrow_batches, materialise, maybe_broadcast, utf8_buffer
 
 #: Words whose ids a worker remembers; further words are encoded batch by batch.
-CACHE_WORDS = 900_000
+CACHE_WORDS = 400_000
 
 SPACED = np.arange(256, dtype=np.uint8)
 SPACED[[9, 10, 13]] = 32
@@ -120,7 +120,8 @@ class WordEncoder:
         start = np.cumsum(size) - size
         which = words.indices.to_numpy()
         after = np.concatenate([[0], np.cumsum(size[which])])
-        at = np.repeat(start[which] - after[:-1], size[which]) + np.arange(after[-1])
+        at = np.repeat((start[which] - after[:-1]).astype(np.int32), size[which])
+        at += np.arange(len(at), dtype=np.int32)
         return pool[at], after[np.searchsorted(cuts, offsets)]
 
 
@@ -129,7 +130,7 @@ IDS = pa.schema([("doc_id", pa.int64()), ("part", pa.int64()), ("local_offset",
 
 def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, part, local_offset, doc_tokens, ids as little-endian uint32), end id included."""
-    arrow_batches(docs.sparkSession, 4000)
+    arrow_batches(docs.sparkSession, 2500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, offset = WordEncoder(tokenizer_path), TaskContext.get().partitionId(), 0
