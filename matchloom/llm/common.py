@@ -107,11 +107,13 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
         edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{tag}-e"
     )
     mapping = None
-    while not current.isEmpty():
+    while edges_left := current.count():
+        # A round has at most two nodes for each edge left: that decides what may be broadcast.
+        here = 2 * edges_left
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = materialise(both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("n"), F.least("a", "p").alias("p")), f"{tag}-p")
         while True:
-            up = parent.select(F.col("n").alias("m"), F.col("p").alias("q"))
+            up = maybe_broadcast(parent.select(F.col("n").alias("m"), F.col("p").alias("q")), here, 16)
             jumped = materialise(
                 parent.join(up, parent.p == up.m, "left").select("n", F.coalesce("q", "p").alias("p"), (F.coalesce("q", "p") != F.col("p")).alias("moved")), f"{tag}-j"
             )
@@ -119,13 +121,14 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
             parent = jumped
             if parent.where("moved").isEmpty():
                 break
-        step = parent.select("n", "p")
+        step = maybe_broadcast(parent.select("n", "p"), here, 16)
         if mapping is None:
-            new_mapping = step.select(F.col("n").alias("node"), F.col("p").alias("component_id"))
+            new_mapping = parent.select(F.col("n").alias("node"), F.col("p").alias("component_id"))
         else:
-            new_mapping = mapping.join(step, mapping.component_id == step.n, "left").select("node", F.coalesce("p", "component_id").alias("component_id"))
+            new_mapping = mapping.join(step, F.col("component_id") == F.col("n"), "left").select("node", F.coalesce("p", "component_id").alias("component_id"))
         new_mapping = materialise(new_mapping, f"{tag}-m")
-        left, right = step.select(F.col("n").alias("a"), F.col("p").alias("pa")), step.select(F.col("n").alias("b"), F.col("p").alias("pb"))
+        left = maybe_broadcast(parent.select(F.col("n").alias("a"), F.col("p").alias("pa")), here, 16)
+        right = maybe_broadcast(parent.select(F.col("n").alias("b"), F.col("p").alias("pb")), here, 16)
         contracted = materialise(
             current.join(left, "a").join(right, "b").where("pa != pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), f"{tag}-e"
         )
