@@ -23,9 +23,10 @@ def norm(v: Column) -> Column:
 
 def cosine_score(a: Column, b: Column) -> Column:
     """(cosine + 1) / 2 in 0 to 1; 0 for missing, unequal-length or zero vectors."""
-    product = norm(a) * norm(b)
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.try_divide(dot(a, b), product) + 1) / 2))
-    return F.when(a.isNull() | b.isNull() | (F.size(a) != F.size(b)), 0.0).otherwise(F.coalesce(score, F.lit(0.0)))
+    # greatest and least skip nulls, so a missing cosine must not reach them.
+    cosine = F.try_divide(dot(a, b), norm(a) * norm(b))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (cosine + 1) / 2))
+    return F.when(a.isNull() | b.isNull() | (F.size(a) != F.size(b)) | cosine.isNull(), 0.0).otherwise(score)
 
 
 def l2_normalized(v: Column) -> Column:
