@@ -90,5 +90,5 @@ def name_similarity(observed: Column, expected: Column) -> Column:
 
 
 def clamp(x: Column) -> Column:
-    """Into 0 to 1."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    """Into 0 to 1 (I13); null stays null, which greatest and least would skip."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
