@@ -478,3 +478,18 @@ def test_lines_odd_and_empty(odd, empty):
     got = {r.doc_id: r for r in linededup.dedup_lines(odd).collect()}
     assert got[1].text is None and got[1].n_lines == 0 and got[2].text == "" and got[9].text == "line" and got[None].text == "no id here at all"
     assert linededup.dedup_lines(empty).count() == 0
+
+
+def test_long_lines_are_verified_by_characters(spark):
+    from pyspark.sql import functions as F
+
+    row = [str(1000 + k) for k in range(60)]
+    digits = [x[:-1] + "x" if k % 5 == 0 else x for k, x in enumerate(row)]
+    rng = random.Random(4)
+    prose = words(rng, 40)
+    tokens = ["".join(rng.choice(s) for _ in range(400)) for s in ("abcde", "vwxyz")]
+    pairs = [(" ".join(row), " ".join(digits), True), (f"{prose} {tokens[0]}", f"{prose} {tokens[1]}", False)]
+    texts = spark.createDataFrame([(2 * k + j, p[j]) for k, p in enumerate(pairs) for j in (0, 1)], "node long, norm string")
+    linker = linededup.Linker(spark.createDataFrame([], "node long, sim long"), lambda nodes: texts.join(nodes, "node"), 3, 0.85)
+    linker.verify(spark.createDataFrame([(0, 1), (2, 3)], "a long, b long").select(F.col("a"), F.col("b")))
+    assert [(r.a, r.b) for r in linker.links.collect()] == [(0, 1)]
