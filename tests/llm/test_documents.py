@@ -493,3 +493,16 @@ def test_long_lines_are_verified_by_characters(spark):
     linker = linededup.Linker(spark.createDataFrame([], "node long, sim long"), lambda nodes: texts.join(nodes, "node"), 3, 0.85)
     linker.verify(spark.createDataFrame([(0, 1), (2, 3)], "a long, b long").select(F.col("a"), F.col("b")))
     assert [(r.a, r.b) for r in linker.links.collect()] == [(0, 1)]
+
+
+def test_lines_with_small_edits_are_found(spark):
+    rng = random.Random(21)
+    rows = []
+    for k in range(200):
+        line = words(rng, rng.choice((3, 8, 20, 60, 150)), "abcdefghijklmnop")
+        one = line.split(" ")
+        for at in rng.sample(range(len(one)), max(1, len(line) // 40)):
+            one[at] = "z" + one[at][1:]
+        rows += [(k, line, "en", "s", 0), (1000 + k, " ".join(one), "en", "s", 0)]
+    dropped = {r.doc_id for r in linededup.dropped_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert not dropped & set(range(1000)) and len(dropped) >= 0.95 * 200
