@@ -1,11 +1,13 @@
 """Operator 9: benchmark decontamination by the q-gram lemma.
 
-Benchmark items, cut into overlapping segments of SEGMENT characters, are the stated query
-set; every document is scanned against all of them.  If a segment of n characters lies in
+Benchmark items, cut into overlapping segments, are the stated query set; every document is
+scanned against all of them.  Segments are of two lengths, in bytes: WINDOW, so dense that
+every part of an item of PASSAGE bytes holds a whole one, and SEGMENT, for longer passages
+whose edits lie close together.  If a segment of n characters lies in
 a document with at most e edits, the two share at least n + 1 - q - q * e q-grams whose
 diagonals (place in the document minus place in the segment) differ by at most e.  So
 shared q-grams are counted in overlapping diagonal bands of width 2 * (e + 1), regions
-below that count are dropped without loss, and the rest are verified by banded alignment.
+below that count are dropped without loss for that segment, and the rest are verified by banded alignment.
 e is EDIT_RATE of the segment's length.
 
 Both sides are read as bytes with A-Z lowered and every white-space byte as a space.
@@ -31,8 +33,11 @@ from matchloom.llm.common import BLANKED, arrow_batches, utf8_buffer
 Q = 10
 EDIT_RATE = 0.08
 SEGMENT, STRIDE, MIN_ITEM = 128, 64, 50
+WINDOW, WINDOW_STRIDE = 56, 8
+#: Every exact passage of an item that has so many bytes is found, and shorter items as a whole.
+PASSAGE = WINDOW + WINDOW_STRIDE - 1
 #: Benchmark bytes scanned for at once.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: Document bytes hashed at once.
 CHUNK = 1 << 20
 
@@ -65,10 +70,13 @@ class Index:
             raw = BLANKED[np.frombuffer((text or "").encode(), np.uint8)].tobytes().strip()
             if len(raw) < MIN_ITEM:
                 continue
-            starts = [*range(0, max(1, len(raw) - SEGMENT), STRIDE), *([len(raw) - SEGMENT] if len(raw) > SEGMENT else [])]
-            for s in starts:
-                self.items.append(item)
-                self.segments.append(raw[s : s + SEGMENT])
+            for length, stride in ((WINDOW, WINDOW_STRIDE), (SEGMENT, STRIDE)):
+                if length == SEGMENT and len(raw) <= WINDOW:
+                    continue
+                starts = [*range(0, max(1, len(raw) - length), stride), *([len(raw) - length] if len(raw) > length else [])]
+                for s in starts:
+                    self.items.append(item)
+                    self.segments.append(raw[s : s + length])
         self.edits = np.array([budget(len(s)) for s in self.segments], np.int64)
         self.needed = np.array([max(1, len(s) + 1 - Q - Q * e) for s, e in zip(self.segments, self.edits.tolist(), strict=True)], np.int64)
         hashes = [gram_hashes(np.frombuffer(s, np.uint8)) for s in self.segments]

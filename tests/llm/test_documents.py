@@ -387,6 +387,17 @@ def test_leaks_in_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in got) == [(k, k) for k in range(5)]
 
 
+def test_leaks_of_parts_of_items(spark):
+    rng = random.Random(31)
+    item = words(rng, 80)[:300].strip()
+    n = 63
+    rows = [(k, f"{words(rng, 9, 'klmnop')}#{item[at : at + n]}#{words(rng, 9, 'klmnop')}", "en", "s", 0) for k, at in enumerate(range(0, len(item) - n + 1, 3))]
+    edited = item[100:200]
+    rows.append((900, f"{words(rng, 9, 'klmnop')} {edited[:20]}#{edited[21:70]}#{edited[71:]} x", "en", "s", 0))
+    docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.doc_id for r in decontamination.leaks(docs, bench).collect()} == {r[0] for r in rows}
+
+
 def test_banded_distance_as_plain():
     rng = random.Random(1)
 
