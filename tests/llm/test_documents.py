@@ -506,6 +506,12 @@ def test_long_lines_are_verified_by_characters(spark):
     assert [(r.a, r.b) for r in linker.links.collect()] == [(0, 1)]
 
 
+def test_lines_of_short_words_link(spark):
+    row = " ".join(str(k % 89 + 10) for k in range(7, 307, 7))
+    docs = spark.createDataFrame([(1, row, "en", "s", 0), (2, row[:-2] + "xx", "en", "s", 0), (3, "日 本 語 の 文 を 書 く", "ja", "s", 0), (4, "日 本 語 の 文 を 書 い", "ja", "s", 0)], DOCS)
+    assert {r.doc_id for r in linededup.dropped_lines(docs).collect()} == {2, 4}
+
+
 def test_lines_with_small_edits_are_found(spark):
     rng = random.Random(21)
     rows = []
