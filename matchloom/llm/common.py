@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session has none (single-machine tests) a temporary folder is made,
-    which goes when the process ends.
+    Only where the session has none and runs in one process (tests) a temporary folder is
+    made, which goes when the process ends; a cluster without the setting is an error.
     """
     global _own_dir
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="matchloom-")
         atexit.register(shutil.rmtree, _own_dir, True)
@@ -71,10 +75,39 @@ def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
-def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch holds, so that long texts do not add up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def measured_broadcast(df: DataFrame) -> DataFrame:
+    """Broadcast hint only when the measured size of df's rows, strings included, allows it; df is read once for that."""
+    size = F.lit(32)
+    for f in df.schema.fields:
+        size = size + (F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.typeName() == "string" else F.lit(8))
+    total = df.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
+def unused(columns: Iterable[str], *stems: str) -> list[str]:
+    """A name for each stem that no column has, in any case; the stems themselves where they are free."""
+    taken, out = {c.lower() for c in columns}, []
+    for stem in stems:
+        name = stem
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def arrow_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch holds, so that long texts do not add up in a worker.
+
+    The bounds are the same for all operators and stay for the session: plans are lazy and read
+    them when they run.  Bounds that the user has set below Spark's own defaults are kept.
+    """
+    for name, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 16 << 20)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = re.match(r"(-?\d+)\s*([kmg]?)", str(spark.conf.get(name)).lower())
+        size = int(now[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[now[2]] if now else 0
+        if not 0 < size <= most:
+            spark.conf.set(name, str(most))
 
 
 def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -95,6 +128,27 @@ BLANKED = LOWER.copy()
 BLANKED[9:14] = 32
 
 
+#: A root that more than one in so many nodes point to is looked up by broadcast; there are at most so many.
+HOT_SHARE = 1000
+
+
+def _looked_up(df: DataFrame, by: str, table: DataFrame, table_rows: int, rows: int) -> DataFrame:
+    """df joined (left) with table (key m, value q; unique keys) on df.by = m; the counts bound table and df.
+
+    Past the size of a broadcast, keys that very many rows of df hold are joined by a broadcast of
+    their own and only the others are shuffled, so that no key's rows meet in one task.
+    """
+    if table_rows * 16 <= BROADCAST_BYTES:
+        return df.join(F.broadcast(table), F.col(by) == F.col("m"), "left").drop("m")
+    hot = df.groupBy(F.col(by).alias("h")).agg(F.count("*").alias("times")).where(F.col("times") * HOT_SHARE > rows)
+    hot = [r.h for r in hot.select("h").collect()]  # at most HOT_SHARE x 2 of them
+    if not hot:
+        return df.join(table, F.col(by) == F.col("m"), "left").drop("m")
+    few = F.broadcast(table.where(F.col("m").isin(hot)))
+    usual = df.where(~F.col(by).isin(hot)).join(table.where(~F.col("m").isin(hot)), F.col(by) == F.col("m"), "left")
+    return usual.unionByName(df.where(F.col(by).isin(hot)).join(few, F.col(by) == F.col("m"), "left")).drop("m")
+
+
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, component_id), smallest member.
 
@@ -106,32 +160,30 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     current = materialise(
         edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{tag}-e"
     )
-    mapping = None
+    mapping, mapped = None, 0
     while edges_left := current.count():
         # A round has at most two nodes for each edge left: that decides what may be broadcast.
         here = 2 * edges_left
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = materialise(both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("n"), F.least("a", "p").alias("p")), f"{tag}-p")
         while True:
-            up = maybe_broadcast(parent.select(F.col("n").alias("m"), F.col("p").alias("q")), here, 16)
-            jumped = materialise(
-                parent.join(up, parent.p == up.m, "left").select("n", F.coalesce("q", "p").alias("p"), (F.coalesce("q", "p") != F.col("p")).alias("moved")), f"{tag}-j"
-            )
+            up = parent.select(F.col("n").alias("m"), F.col("p").alias("q"))
+            found = _looked_up(parent.select("n", "p"), "p", up, here, here)
+            jumped = materialise(found.select("n", F.coalesce("q", "p").alias("p"), (F.coalesce("q", "p") != F.col("p")).alias("moved")), f"{tag}-j")
             release(parent)
             parent = jumped
             if parent.where("moved").isEmpty():
                 break
-        step = maybe_broadcast(parent.select("n", "p"), here, 16)
+        step = parent.select(F.col("n").alias("m"), F.col("p").alias("q"))
         if mapping is None:
             new_mapping = parent.select(F.col("n").alias("node"), F.col("p").alias("component_id"))
         else:
-            new_mapping = mapping.join(step, F.col("component_id") == F.col("n"), "left").select("node", F.coalesce("p", "component_id").alias("component_id"))
+            new_mapping = _looked_up(mapping, "component_id", step, here, mapped).select("node", F.coalesce("q", "component_id").alias("component_id"))
+        mapped = max(mapped, here)
         new_mapping = materialise(new_mapping, f"{tag}-m")
-        left = maybe_broadcast(parent.select(F.col("n").alias("a"), F.col("p").alias("pa")), here, 16)
-        right = maybe_broadcast(parent.select(F.col("n").alias("b"), F.col("p").alias("pb")), here, 16)
-        contracted = materialise(
-            current.join(left, "a").join(right, "b").where("pa != pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), f"{tag}-e"
-        )
+        ends = _looked_up(current, "a", step, here, here).withColumnRenamed("q", "pa")
+        ends = _looked_up(ends, "b", step, here, here).withColumnRenamed("q", "pb")
+        contracted = materialise(ends.where("pa != pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), f"{tag}-e")
         for old in (current, parent, mapping):
             release(old)
         current, mapping = contracted, new_mapping
