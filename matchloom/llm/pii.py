@@ -10,7 +10,8 @@ stands within CONTEXT characters of the entity,
 
 A term whose PMI reaches DISCLOSURE of the entity's IC in at least SUPPORT documents
 discloses it, and is a span of kind ``term`` wherever it stands in that context.
-``sanitise`` replaces base spans by their kind and generalises terms to ``[TERM]``.
+``sanitise`` replaces base spans by their kind and generalises terms to ``[TERM]``; spans that
+overlap are masked as one.
 
 The patterns are written so that each text position is looked at a bounded number of
 times: runs are entered at their first character only and quantifiers are possessive,
@@ -18,7 +19,7 @@ which changes no match.
 
 Defined results: null text is empty and has no spans; repeated rows count as often as
 they occur and get the same spans; null ids are rows like others; an empty table gives no rows;
-extra columns are ignored.
+extra columns are ignored by ``find_spans`` and kept by ``sanitise``, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import materialise, maybe_broadcast
+from matchloom.llm.common import materialise, measured_broadcast, unused
 
 KINDS = ("email", "ip", "card", "phone", "term")
 PATTERNS = {
@@ -40,7 +41,8 @@ PATTERNS = {
 #: What a text must hold for a pattern to be worth finding all its matches.
 GATES = PATTERNS | {"card": r"[0-9](?:[ -]?[0-9]){11}"}
 IP_CHECK = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}$"
-WORD = r"[\p{L}\p{M}\p{N}_]{3,}"
+LEAST_TERM = 3
+WORD = r"[\p{L}\p{M}\p{N}_]{" + str(LEAST_TERM) + ",}"
 WORD_CHARS = r"[\p{L}\p{M}\p{N}_]+"
 #: Characters looked at on either side of an entity.
 CONTEXT = 80
@@ -131,17 +133,18 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total = found.count()
     entities = found.select(F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("entity"))
     entity_df = entities.groupBy("entity").agg(F.count("*").alias("entity_df"))
-    # Document frequencies of the terms in question, over the words of all documents.
+    # Document frequencies over the words of all documents: counted where the rows are, so that what is
+    # joined with the terms in question is one row for each word of the vocabulary, not for each occurrence.
     terms = materialise(pairs.select("term").distinct(), "pii-terms")
-    each = docs.select(F.explode(F.array_distinct(F.split(F.lower(text_col), r"[^\p{L}\p{M}\p{N}_]+"))).alias("term"))
-    term_df = each.join(maybe_broadcast(terms, terms.count(), 48), "term").groupBy("term").agg(F.count("*").alias("term_df"))
+    each = docs.select(F.explode(F.array_distinct(F.split(F.lower(text_col), r"[^\p{L}\p{M}\p{N}_]+"))).alias("term")).where(F.length("term") >= LEAST_TERM)
+    term_df = each.groupBy("term").agg(F.count("*").alias("term_df")).join(measured_broadcast(terms), "term")
     n = F.lit(float(total))
     scored = pairs.join(entity_df, "entity").join(term_df, "term")
     ic = F.log(n / F.col("entity_df"))
     pmi = F.log(F.col("both") * n / (F.col("term_df").cast("double") * F.col("entity_df")))
     told = materialise(scored.where((ic > 0) & (pmi >= disclosure * ic)).select("entity", "term"), "pii-told")
     words = found.where(F.size("near") > 0).select("key_a", "key_b", F.explode("near").alias("w")).select("key_a", "key_b", "w.*")
-    hits = words.join(maybe_broadcast(told, told.count(), 96), ["entity", "term"]).select("key_a", "key_b", "start", "end", "term").distinct()
+    hits = words.join(measured_broadcast(told), ["entity", "term"]).select("key_a", "key_b", "start", "end", "term").distinct()
     per_row = hits.groupBy("key_a", "key_b").agg(F.array_sort(F.collect_set(F.struct("start", F.lit(4).alias("rank"), "end", F.col("term").alias("value")))).alias("terms"))
     out = found.join(per_row, ["key_a", "key_b"], "left")
     return out.select("doc_id", "key_a", "key_b", "base", F.coalesce("terms", F.array()).cast(SPAN).alias("terms"))
@@ -156,18 +159,21 @@ def digest(spans: Column) -> Column:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every span of the text replaced: base spans by [KIND], terms by [TERM].
 
-    Where spans overlap the one that starts first is replaced.
+    Spans that overlap are masked as one, from the first start to the last end, by the kinds
+    of those that reach beyond the ones before: no character of any span stays.
     """
-    spans = find_spans(docs, id_col, text_col).select("key_a", "key_b", F.array_sort(F.concat("base", "terms")).alias("_spans")).dropDuplicates(["key_a", "key_b"])
+    mark_a, mark_b, spans_at, other_a, other_b = unused(docs.columns, "key_a", "key_b", "spans", "other_a", "other_b")
+    found = find_spans(docs, id_col, text_col).select(F.col("key_a").alias(other_a), F.col("key_b").alias(other_b), F.array_sort(F.concat("base", "terms")).alias(spans_at)).dropDuplicates([other_a, other_b])
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select("*", F.xxhash64(F.col(id_col).cast("long"), text).alias("_a"), F.xxhash64(text, F.col(id_col).cast("long")).alias("_b"))
-    joined = keyed.join(spans, (F.col("_a") == spans.key_a) & (F.col("_b") == spans.key_b), "left")
+    keyed = docs.select("*", F.xxhash64(F.col(id_col).cast("long"), text).alias(mark_a), F.xxhash64(text, F.col(id_col).cast("long")).alias(mark_b))
+    joined = keyed.join(found, (F.col(mark_a) == F.col(other_a)) & (F.col(mark_b) == F.col(other_b)), "left")
     kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"]), F.get(kinds, s["rank"]))
-        return F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), piece.alias("out")))
+        gap = F.substring(F.col(text_col), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        piece = F.concat(acc["out"], gap, F.get(kinds, s["rank"]))
+        return F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), piece.alias("out")))
 
-    whole = F.aggregate("_spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col))))
-    return joined.select(*[F.when(F.size("_spans") > 0, whole).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    whole = F.aggregate(spans_at, zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col))))
+    return joined.select(*[F.when(F.size(spans_at) > 0, whole).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns])
