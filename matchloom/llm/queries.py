@@ -18,8 +18,10 @@ def tokenizer_path() -> str:
 
 
 def op1_min_cost_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents, laid out by source on 32 shards, moved to 40 shards of near equal bytes."""
-    out, _ = sharding.reshard(table(spark, sf_dir, "documents"), "pmod(crc32(coalesce(source, '')), 32)", 32, 40)
+    """Documents on 32 full but uneven shards (the lesser of two hashes), moved to 40 shards of near equal bytes."""
+    row = "concat_ws('/', source, doc_id)"
+    old = f"least(pmod(crc32({row}), 32), pmod(crc32(concat({row}, '+')), 32))"
+    out, _ = sharding.reshard(table(spark, sf_dir, "documents"), old, 32, 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -29,11 +31,11 @@ def op2_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of every document, learned from those with crc32(doc_id) mod 4 other than 2."""
+    """Language of every document, learned from those with crc32(doc_id) mod 4 other than 2; a null id is not held out."""
     docs = table(spark, sf_dir, "documents")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
     model = langid.train(docs.where((fold != 2) | fold.isNull()))
-    out = langid.identify(docs.select("doc_id", "text", (fold == 2).alias("held_out")), model)
+    out = langid.identify(docs.select("doc_id", "text", F.coalesce(fold == 2, F.lit(False)).alias("held_out")), model)
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
@@ -57,7 +59,8 @@ def op7_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document, and the terms near it that give it away."""
     found = pii.find_spans(table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("base", pii.of_rank(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS[:4])]
-    return found.select("doc_id", *counts, F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"), pii.digest(F.array_sort(F.concat("base", "terms"))).alias("spans"))
+    n_base = F.size("base").cast("long").alias("n_base")
+    return found.select("doc_id", *counts, n_base, F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"), pii.digest(F.array_sort(F.concat("base", "terms"))).alias("spans"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
