@@ -2,9 +2,9 @@
 
 Law ``bytes``: every new shard gets nearly total / count bytes.  Old shard sizes are the
 supplies, new capacities the demands, and moving a byte to another shard costs one;
-a minimum-cost flow over the (old x new) graph says how many bytes go from where to
-where, so that the fewest bytes move.  The flow is then cut into whole rows: each old
-shard is a line of blocks (hashes of the id) with known byte totals, the flow's amounts
+a minimum-cost flow says how many bytes go from where to where, so that the fewest bytes
+move.  The flow is then cut into whole rows: each old
+shard is a line of blocks (by hash) with known byte totals, the flow's amounts
 are cut points on that line, and a row goes where its middle byte lies.  Rows above
 1/64 of a shard are placed one by one first (largest first, at home where it fits); by
 that bound there are at most 64 * count of them.
@@ -13,9 +13,12 @@ Only per-block totals and those large rows' sizes reach the driver; both are bou
 parameters.  A block's rows are numbered inside one task, and blocks are many enough
 (``rows_per_block``) that a shard holding a third of all rows is spread over many tasks.
 
+``rewrite`` then replaces the files of the shards that gain or lose rows, and of no others.
+
 Defined results: null text has size 16; null ids are rows like others; repeated rows
-each get their own slot; an empty table gives no rows; columns other than the id, text
-and old shard are ignored.
+each get their own slot and rows of one id with different texts are different rows; rows
+that agree in all that the flow sees go either way; an empty table gives no rows; columns
+other than the id, text and old shard are ignored by ``reshard`` and kept by ``rewrite``.
 """
 
 from __future__ import annotations
@@ -26,65 +29,125 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import materialise, maybe_broadcast
+from matchloom.llm.common import materialise, maybe_broadcast, release, unused
 
 OVERHEAD = 16
 #: A row above 1 / LARGE of a shard's capacity is placed by itself.
 LARGE = 64
 
 
-def min_cost_flow(supply: list[int], demand: list[int], cost: list[list[int]]) -> list[tuple[int, int, int]]:
-    """Cheapest transport of all supply within demand: (from, to, amount).
+class Network:
+    """A flow network with costs; ``solve`` sends as much as can be, as cheaply as can be.
 
-    Successive shortest paths with potentials over source, suppliers, demands and sink.
+    Primal-dual: shortest distances by Dijkstra under potentials, then a blocking flow (levels and
+    current edges) over all edges of no reduced cost.  There are as many rounds as there are
+    different costs of a path, which here are two.
     """
-    n, m = len(supply), len(demand)
-    source, sink = n + m, n + m + 1
-    to: list[int] = []
-    cap: list[int] = []
-    price: list[int] = []
-    out: list[list[int]] = [[] for _ in range(n + m + 2)]
-
-    def edge(u: int, v: int, c: int, w: int) -> None:
-        for a, b, x, y in ((u, v, c, w), (v, u, 0, -w)):
-            out[a].append(len(to))
-            to.append(b)
-            cap.append(x)
-            price.append(y)
 
+    def __init__(self, nodes: int) -> None:
+        self.to: list[int] = []
+        self.cap: list[int] = []
+        self.cost: list[int] = []
+        self.out: list[list[int]] = [[] for _ in range(nodes)]
+
+    def edge(self, u: int, v: int, capacity: int, cost: int) -> int:
+        for a, b, x, y in ((u, v, capacity, cost), (v, u, 0, -cost)):
+            self.out[a].append(len(self.to))
+            self.to.append(b)
+            self.cap.append(x)
+            self.cost.append(y)
+        return len(self.to) - 2
+
+    def flow(self, edge: int) -> int:
+        return self.cap[edge ^ 1]
+
+    def solve(self, source: int, sink: int) -> None:
+        far, potential = float("inf"), [0] * len(self.out)
+        while True:
+            dist: list[float] = [far] * len(self.out)
+            dist[source], queue = 0, [(0, source)]
+            while queue:
+                d, u = heapq.heappop(queue)
+                if d > dist[u]:
+                    continue
+                for e in self.out[u]:
+                    v = self.to[e]
+                    if self.cap[e] and (x := d + self.cost[e] + potential[u] - potential[v]) < dist[v]:
+                        dist[v] = x
+                        heapq.heappush(queue, (x, v))
+            if dist[sink] == far:
+                return
+            potential = [p + (d if d < far else dist[sink]) for p, d in zip(potential, dist, strict=True)]
+            while self._blocking(source, sink, potential):
+                pass
+
+    def _blocking(self, source: int, sink: int, potential: list[int]) -> bool:
+        """Saturate the shortest paths of edges without reduced cost; whether there was one."""
+
+        def free(u: int, e: int) -> bool:
+            return bool(self.cap[e]) and self.cost[e] + potential[u] - potential[self.to[e]] == 0
+
+        level, queue = {source: 0}, [source]
+        for u in queue:
+            for e in self.out[u]:
+                if self.to[e] not in level and free(u, e):
+                    level[self.to[e]] = level[u] + 1
+                    queue.append(self.to[e])
+        if sink not in level:
+            return False
+        at, path, u = [0] * len(self.out), [], source
+        while True:
+            if u == sink:
+                amount = min(self.cap[e] for e in path)
+                for e in path:
+                    self.cap[e] -= amount
+                    self.cap[e ^ 1] += amount
+                path, u = [], source
+            while at[u] < len(self.out[u]):
+                e = self.out[u][at[u]]
+                if free(u, e) and level.get(self.to[e]) == level[u] + 1:
+                    break
+                at[u] += 1
+            if at[u] < len(self.out[u]):
+                path.append(self.out[u][at[u]])
+                u = self.to[path[-1]]
+            elif path:
+                u = self.to[path.pop() ^ 1]
+                at[u] += 1
+            else:
+                return True
+
+
+def fewest_moves(supply: list[int], demand: list[int]) -> list[tuple[int, int, int]]:
+    """Transport of all supply within demand that moves the least between unlike shards: (from, to, amount).
+
+    What stays costs nothing and all other transport costs one, so the graph needs an edge from each
+    old shard to itself and edges to and from one hub, not old x new edges.
+    """
+    n, m = len(supply), len(demand)
+    source, sink, hub = n + m, n + m + 1, n + m + 2
+    net = Network(n + m + 3)
     for i, s in enumerate(supply):
-        edge(source, i, s, 0)
+        net.edge(source, i, s, 0)
     for j, d in enumerate(demand):
-        edge(n + j, sink, d, 0)
-    first = len(to)
-    for i in range(n):
-        for j in range(m):
-            edge(i, n + j, supply[i], cost[i][j])
-    left, potential = min(sum(supply), sum(demand)), [0] * (n + m + 2)
-    while left > 0:
-        dist: list[float] = [float("inf")] * (n + m + 2)
-        via, dist[source], queue = [-1] * (n + m + 2), 0, [(0, source)]
-        while queue:
-            d, u = heapq.heappop(queue)
-            if d > dist[u]:
-                continue
-            for e in out[u]:
-                if cap[e] and (x := d + price[e] + potential[u] - potential[to[e]]) < dist[to[e]]:
-                    dist[to[e]], via[to[e]] = x, e
-                    heapq.heappush(queue, (x, to[e]))
-        if via[sink] < 0:
-            break
-        potential = [p + (d if d < float("inf") else 0) for p, d in zip(potential, dist, strict=True)]
-        path, v = [], sink
-        while v != source:
-            path.append(via[v])
-            v = to[via[v] ^ 1]
-        amount = min(left, *(cap[e] for e in path))
-        for e in path:
-            cap[e] -= amount
-            cap[e ^ 1] += amount
-        left -= amount
-    return [(i, j, cap[e ^ 1]) for i in range(n) for j in range(m) if cap[(e := first + 2 * (i * m + j)) ^ 1]]
+        net.edge(n + j, sink, d, 0)
+    own = [net.edge(i, n + i, supply[i], 0) for i in range(min(n, m))]
+    leave = [net.edge(i, hub, s, 1) for i, s in enumerate(supply)]
+    enter = [net.edge(hub, n + j, d, 0) for j, d in enumerate(demand)]
+    net.solve(source, sink)
+    moves = [(i, i, net.flow(e)) for i, e in enumerate(own) if net.flow(e)]
+    # What went through the hub is paired in order; in an optimum no shard both leaves and enters.
+    gets = [[j, net.flow(e)] for j, e in enumerate(enter) if net.flow(e)]
+    for i, e in enumerate(leave):
+        left = net.flow(e)
+        while left:
+            amount = min(left, gets[0][1])
+            moves.append((i, gets[0][0], amount))
+            left -= amount
+            gets[0][1] -= amount
+            if not gets[0][1]:
+                gets.pop(0)
+    return sorted(moves)
 
 
 def level_demands(taken: list[int], amount: int) -> list[int]:
@@ -122,7 +185,7 @@ def reshard(docs: DataFrame, old_shard: str, old_count: int, new_count: int, id_
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    narrow = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + OVERHEAD).alias("size"), F.crc32(text).alias("text_crc32"), F.expr(old_shard).cast("int").alias("old_shard"))
+    narrow = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + OVERHEAD).alias("size"), F.crc32(text).alias("text_crc32"), F.expr(old_shard).cast("int").alias("old_shard"), F.spark_partition_id().alias("part"))
     narrow = materialise(narrow, "shard-sizes")
     counted = narrow.agg(F.count("*"), F.sum("size")).first()
     rows, total = counted[0], counted[1] or 0
@@ -131,7 +194,7 @@ def reshard(docs: DataFrame, old_shard: str, old_count: int, new_count: int, id_
     large = F.col("size") > large_size
     here = Window.partitionBy("old_shard", "block").orderBy("doc_id", "size", "text_crc32")
     numbered = (
-        narrow.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+        narrow.withColumn("block", F.pmod(F.xxhash64("doc_id", "size", "text_crc32", "part"), F.lit(blocks)).cast("int"))
         .withColumn("n", F.row_number().over(here))
         .withColumn("before", F.sum(F.when(large, 0).otherwise(F.col("size"))).over(here.rowsBetween(Window.unboundedPreceding, 0)) - F.when(large, 0).otherwise(F.col("size")))
     )
@@ -150,7 +213,7 @@ def reshard(docs: DataFrame, old_shard: str, old_count: int, new_count: int, id_
     for i, _, b in lines:
         supply[i] += b
     demand = level_demands(taken, sum(supply))
-    plan.moves = min_cost_flow(supply, demand, [[int(i != j) for j in range(new_count)] for i in range(old_count)])
+    plan.moves = fewest_moves(supply, demand)
 
     cuts: dict[int, list[tuple[int, int]]] = {}
     for i, j, amount in sorted(plan.moves, key=lambda x: (x[0], x[0] != x[1], x[1])):
@@ -186,11 +249,48 @@ def reshard(docs: DataFrame, old_shard: str, old_count: int, new_count: int, id_
     return out.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("first_slot") + F.col("k")).alias("slot")), plan
 
 
-def rewrite(docs: DataFrame, assignment: DataFrame, plan: Plan, path: str, id_col: str = "doc_id", files_per_shard: int = 1) -> None:
-    """Write the rows of affected shards below path/shard=N, replacing only those folders.
+def _numbered(rows: DataFrame, keys: list[str], number: str) -> DataFrame:
+    """rows with their number among those of equal keys, from 0.
 
-    docs need unique ids here; shards that the plan leaves alone are neither read back nor rewritten.
+    Rows are numbered within the partition they are in, on top of what the partitions before it hold;
+    so however many rows share a key, they stay spread.
     """
-    rows = assignment.where(F.col("shard").isin(plan.affected())).select(F.col("doc_id").alias(id_col), "shard", "slot")
-    moved = docs.join(rows, id_col).repartition(max(1, len(plan.affected()) * files_per_shard), "shard", F.pmod(F.col("slot"), F.lit(files_per_shard)))
-    moved.sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    part, local, base, *others = unused([*rows.columns, number], "part", "local", "base", *[f"other{k}" for k in range(len(keys) + 1)])
+    placed = materialise(rows.withColumn(part, F.spark_partition_id()), "shard-parts")
+    within = Window.partitionBy(*keys, part).orderBy(F.lit(0))
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(*keys, part).agg(F.count("*").alias(local))
+    bases = counts.select(*[F.col(c).alias(x) for c, x in zip((*keys, part), others, strict=True)], F.coalesce(F.sum(local).over(before), F.lit(0)).alias(base))
+    same = F.lit(True)
+    for c, x in zip((*keys, part), others, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(x))
+    out = placed.withColumn(local, F.row_number().over(within) - 1).join(bases, same)
+    return out.select(*rows.columns, (F.col(local) + F.col(base)).alias(number))
+
+
+def rewrite(docs: DataFrame, assignment: DataFrame, plan: Plan, path: str, id_col: str = "doc_id", text_col: str = "text", shard_col: str = "shard", files_per_shard: int = 1) -> None:
+    """Write the rows of affected shards below path/shard=N, replacing those folders and emptying those that lose all rows.
+
+    docs: the rows that ``assignment`` was made from, with all their columns but ``shard_col``; they may be read from
+    path itself, as their new files are written elsewhere first.  Rows are matched by id, size and
+    checksum, and by number among those that agree in all three, so repeated ids keep all their rows.
+    Shards that the plan leaves alone are not rewritten.
+    """
+    spark, touched = docs.sparkSession, plan.affected()
+    kept = [c for c in docs.columns if c.lower() != shard_col.lower()]
+    key_id, key_size, key_crc, number, a_id, a_size, a_crc, a_number, slot = unused([*kept, shard_col], "id", "size", "crc", "number", "a_id", "a_size", "a_crc", "a_number", "slot")
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    rows = docs.select(*kept, F.col(id_col).alias(key_id), (F.octet_length(text).cast("long") + OVERHEAD).alias(key_size), F.crc32(text).alias(key_crc))
+    places = assignment.select(F.col("doc_id").alias(a_id), F.col("size").alias(a_size), F.col("text_crc32").alias(a_crc), F.col("shard").alias(shard_col), F.col("slot").alias(slot))
+    rows, places = _numbered(rows, [key_id, key_size, key_crc], number), _numbered(places, [a_id, a_size, a_crc], a_number).where(F.col(shard_col).isin(touched))
+    same = F.col(key_id).eqNullSafe(F.col(a_id)) & (F.col(key_size) == F.col(a_size)) & (F.col(key_crc) == F.col(a_crc)) & (F.col(number) == F.col(a_number))
+    moved = materialise(rows.join(places, same).select(*kept, shard_col, slot), "shard-rows")
+    dealt = moved.repartition(max(1, len(touched) * files_per_shard), shard_col, F.pmod(F.col(slot), F.lit(files_per_shard)))
+    dealt.sortWithinPartitions(shard_col, slot).drop(slot).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(shard_col).parquet(path)
+    # At most as many as there are shards.
+    filled = {r[0] for r in moved.select(shard_col).distinct().collect()}
+    release(moved)
+    for shard in touched:
+        if shard not in filled:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{shard_col}={shard}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
