@@ -1,8 +1,9 @@
 """Operator 4: near-duplicate documents by MinHash bands and odd sketches.
 
 1. Every text becomes the set of its word shingles (64-bit hashes).  Texts with equal sets
-   form a class, kept as its smallest id; only classes go on.
-2. ``SAMPLES`` MinHash samples of a class give BANDS keys of ROWS samples each, and an odd
+   form a class; only classes go on, by a hash of their set, so that what ids they have
+   plays no part.
+2. ``SAMPLES`` MinHash samples of a class give keys of several samples each (``banding``), and an odd
    sketch: every sample is hashed to one of SKETCH_BITS places and flips the bit there, so
    that the XOR of two sketches has a bit for each place hit an odd number of times by
    samples in which the two differ.  Its population count estimates high similarities
@@ -15,12 +16,14 @@
    all that remain.  Pairs inside one component are never tried: they can't change it.
    Buckets above TILE members are split into tiles of pairs.
 
-With the defaults a pair at similarity 0.85 shares a band key with probability 0.9999, and
-its sketches pass with probability above 0.99.
+Bands take the most samples each with which a pair right at the similarity still shares a key
+with probability REACHED (6 samples in 21 bands at 0.85, 5 in 25 at 0.80), and its sketches pass but
+for what lies SIGMAS deviations out (1 in 30,000).
 
 Defined results: null, empty or wordless texts have an empty set and link with nothing;
-a null id is its own row without a component, kept; repeated rows are one class; an empty
-table gives no rows; extra columns are ignored.
+a null id is its own row without a component, kept; repeated rows are one class; rows of one
+id with different texts are grouped by their texts alone; an empty table gives no rows; extra
+columns are ignored by ``near_duplicates`` and kept by ``deduplicate``, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,28 +35,35 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import arrow_batches, components, materialise, maybe_broadcast, release
+from matchloom.llm.common import arrow_batches, components, materialise, maybe_broadcast, release, unused
 from matchloom.llm.shingles import mix, shingle_sets
 from matchloom.llm.tiles import bounds, groups, tiled
 
-SAMPLES, BANDS, ROWS = 128, 16, 5
-SKETCH_BITS = 512
+SAMPLES, SKETCH_BITS = 128, 512
+REACHED, SIGMAS = 0.9995, 4.0
 #: Members of a bucket compared in one task; larger buckets are split.
-TILE = 4096
+TILE = 256
 #: Closest mates tried in each round; None: all that are left.
 ROUNDS: tuple[int | None, ...] = (3, None)
 _WORDS = SKETCH_BITS // 64
 
 
-def most_differing(similarity: float, sigmas: float = 2.6) -> int:
+def banding(similarity: float) -> tuple[int, int]:
+    """Bands and samples in each: as many as leave a pair of that similarity a shared band with probability REACHED."""
+    fits = [r for r in range(1, SAMPLES + 1) if (1 - similarity**r) ** (SAMPLES // r) <= 1 - REACHED]
+    rows = max(fits, default=1)
+    return SAMPLES // rows, rows
+
+
+def most_differing(similarity: float, sigmas: float = SIGMAS) -> int:
     """Bits in which the sketches of two sets of that similarity differ at most, but for rare cases."""
     miss = SAMPLES * (1 - similarity)
     high = 2 * (miss + sigmas * np.sqrt(miss * similarity))
     return int(np.ceil(SKETCH_BITS / 2 * (1 - np.exp(-2 * high / SKETCH_BITS))))
 
 
-def signatures(hashes: np.ndarray, offsets: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (texts x BANDS, int64) and odd sketches (texts x words, uint64) of nonempty sets."""
+def signatures(hashes: np.ndarray, offsets: np.ndarray, n_bands: int, n_rows: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (texts x n_bands, int64) and odd sketches (texts x words, uint64) of nonempty sets."""
     rng = np.random.default_rng(seed)
     factor = rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
     shift = rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
@@ -61,10 +71,10 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray, seed: int = 1) -> tuple[
     least = np.empty((len(offsets) - 1, SAMPLES), np.uint64)
     for k in range(SAMPLES):
         least[:, k] = np.minimum.reduceat(x * factor[k] + shift[k], offsets[:-1])
-    bands = np.empty((len(least), BANDS), np.uint64)
-    for b in range(BANDS):
+    bands = np.empty((len(least), n_bands), np.uint64)
+    for b in range(n_bands):
         h = np.full(len(least), b + 1, np.uint64)
-        for k in range(b * ROWS, (b + 1) * ROWS):
+        for k in range(b * n_rows, (b + 1) * n_rows):
             h = mix(h * np.uint64(0xD6E8FEB86659FD93) + least[:, k])
         bands[:, b] = h
     place = mix(least * np.uint64(SAMPLES) + np.arange(SAMPLES, dtype=np.uint64)) >> np.uint64(64 - (SKETCH_BITS - 1).bit_length())
@@ -73,39 +83,46 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray, seed: int = 1) -> tuple[
     return bands.view(np.int64), sketch
 
 
-SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary"
+SIGNED = "doc_id long, row_a long, row_b long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary"
+
+
+def row_hashes(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """Two hashes that name a row by its id and text."""
+    given, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
+    return F.xxhash64(given, text), F.xxhash64(text, given)
 
 
-def sign(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+def sign(docs: DataFrame, id_col: str, text_col: str, width: int, n_bands: int, n_rows: int) -> DataFrame:
     """One row per document: size and identity of its set, band keys and sketch (null for empty sets)."""
-    arrow_batches(docs.sparkSession, 2000)
+    arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, hashes, offsets in shingle_sets(batch.column(1), width):
+            for first, hashes, offsets in shingle_sets(batch.column(3), width):
                 size = np.diff(offsets)
                 n, full = len(size), np.flatnonzero(size)
                 total = np.zeros((2, len(hashes) + 1), np.uint64)
                 np.cumsum(hashes, out=total[0, 1:])
                 np.cumsum(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), out=total[1, 1:])
                 ids = (total[:, offsets[1:]] - total[:, offsets[:-1]]).view(np.int64)
-                bands, sketch = signatures(hashes, np.append(offsets[full], len(hashes))) if len(full) else (np.zeros((0, BANDS), np.int64), np.zeros((0, _WORDS), np.uint64))
+                bands, sketch = signatures(hashes, np.append(offsets[full], len(hashes)), n_bands, n_rows) if len(full) else (np.zeros((0, n_bands), np.int64), np.zeros((0, _WORDS), np.uint64))
                 has = size > 0
-                list_at = np.concatenate([[0], np.cumsum(has * BANDS)]).astype(np.int32)
+                list_at = np.concatenate([[0], np.cumsum(has * n_bands)]).astype(np.int32)
                 raw_at = np.concatenate([[0], np.cumsum(has * _WORDS * 8)]).astype(np.int32)
                 yield pa.record_batch(
                     [
-                        batch.column(0).slice(first, n),
+                        *(batch.column(k).slice(first, n) for k in range(3)),
                         pa.array(size),
                         pa.array(ids[0]),
                         pa.array(ids[1]),
                         pa.ListArray.from_arrays(pa.array(list_at), pa.array(bands.reshape(-1))),
                         pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(raw_at), pa.py_buffer(np.ascontiguousarray(sketch))]),
                     ],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"],
+                    names=["doc_id", "row_a", "row_b", "n_shingles", "set_a", "set_b", "bands", "sketch"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SIGNED)
+    row_a, row_b = row_hashes(id_col, text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_a.alias("row_a"), row_b.alias("row_b"), F.col(text_col).alias("text")).mapInArrow(run, SIGNED)
 
 
 def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -155,7 +172,7 @@ def close_mates(members: DataFrame, most: int, k: int | None) -> DataFrame:
             reps, comp, main, side = (table.column(c).to_numpy() for c in ("rep", "component", "main", "side"))
             i, j = table.column("tile_i").to_numpy(), table.column("tile_j").to_numpy()
             sk = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u8").reshape(-1, _WORDS)
-            bands = pa.concat_arrays(table.column("bands").chunks).flatten().to_numpy().reshape(-1, BANDS)
+            bands = pa.concat_arrays(table.column("bands").chunks).flatten().to_numpy().reshape(len(reps), -1)
             key, at = table.column("key").to_numpy(), bounds(table, keys)
             for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 for a, b in pairs(reps[s:e], comp[s:e], main[s], sk[s:e], bands[s:e], key[s], side[s:e], i[s] == j[s]):
@@ -169,9 +186,9 @@ def close_mates(members: DataFrame, most: int, k: int | None) -> DataFrame:
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Of pairs (a, b) those whose full sets meet 100 * intersection >= percent * union."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    arrow_batches(pairs.sparkSession, 500)
+    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
+    arrow_batches(pairs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sets(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
@@ -197,28 +214,32 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    most = most_differing(percent / 100)
-    signed = materialise(sign(docs, id_col, text_col, width), "nd-signed")
-    classed = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = materialise(
-        classed.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nd-classes"
-    )
+def grouped(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per document: doc_id, row_a, row_b, n_shingles; and of its component (null without id or words) the first row and the number of rows.
+
+    ``first`` is the smallest (doc_id, row_a, row_b).
+    """
+    most, (n_bands, n_rows) = most_differing(percent / 100), banding(percent / 100)
+    signed = materialise(sign(docs, id_col, text_col, width, n_bands, n_rows), "nd-signed")
+    classed = signed.where("n_shingles > 0 and doc_id is not null").withColumn("rep", F.xxhash64("n_shingles", "set_a", "set_b"))
+    own = F.struct("doc_id", "row_a", "row_b")
+    classes = materialise(classed.groupBy("rep").agg(F.min(own).alias("own"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nd-classes")
     banded = classes.select("rep", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("mates")).where("mates > 1")
     members = materialise(banded.join(shared, "key"), "nd-members")
     # The hub of a bucket: its member with the most bucket mates over all bands.
     reach = members.groupBy("rep").agg(F.sum("mates").alias("reach"))
     reached = materialise(members.join(reach, "rep"), "nd-reach")
-    hubs = reached.groupBy("key").agg(F.max(F.struct("reach", (-F.col("rep")).alias("neg"))).alias("h")).select("key", (-F.col("h.neg")).alias("hub"))
+    hubs = reached.groupBy("key").agg(F.max(F.struct("reach", F.bitwise_not("rep").alias("inverse"))).alias("h")).select("key", F.bitwise_not("h.inverse").alias("hub"))
     tried = materialise(
         reached.join(hubs, "key").where("rep != hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "nd-hub-pairs"
     )
-    in_buckets = members.select(F.col("rep").alias("doc_id")).distinct()
+    # The text of one row of each class that shares a key.
+    in_buckets = members.select("rep").distinct().join(classes.select("rep", "own.row_a", "own.row_b"), "rep")
     n = in_buckets.count()
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = materialise(narrow.join(maybe_broadcast(in_buckets, n, 16), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "nd-texts")
+    row_a, row_b = row_hashes(id_col, text_col)
+    narrow = docs.select(row_a.alias("row_a"), row_b.alias("row_b"), F.col(text_col).alias("text"))
+    texts = materialise(narrow.join(maybe_broadcast(in_buckets, n, 24), ["row_a", "row_b"]).select("rep", "text").dropDuplicates(["rep"]), "nd-texts")
     sketches = classes.select("rep", "sketch")
     near = tried.join(_sketched(sketches, "a"), "a").join(_sketched(sketches, "b"), "b").where(_xor_bits("sketch_a", "sketch_b") <= most).select("a", "b")
     links = materialise(confirm(near, texts, width, percent), "nd-links")
@@ -238,10 +259,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, id_col:
             comp = components(links, "nd-cc")
             release(old)
         release(placed)
-    of_class = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "set_a", "set_b", F.coalesce("component_id", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(of_class, ["n_shingles", "set_a", "set_b"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    placed = classes.select("rep", "own", "n").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("group", F.coalesce("component_id", "rep"))
+    placed = materialise(placed, "nd-grouped")
+    of_group = placed.groupBy("group").agg(F.min("own").alias("first"), F.sum("n").alias("n"))
+    of_class = placed.select("rep", "group").join(of_group, "group").select("rep", "first", "n")
+    rows = signed.select("doc_id", "row_a", "row_b", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.xxhash64("n_shingles", "set_a", "set_b")).alias("rep"))
+    out = rows.join(of_class, "rep", "left").drop("rep")
+    for old in (members, reached, texts):
+        release(old)
+    return out
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    rows = grouped(docs, percent, width, id_col, text_col)
+    out = rows.select("doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _sketched(sketches: DataFrame, name: str) -> DataFrame:
@@ -258,16 +291,19 @@ def _xor_bits(a: str, b: str) -> Column:
 
 
 def deduplicate(docs: DataFrame, percent: int = 85, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document (the smallest id) of every group of near copies.
+    """docs with one document of every group of near copies: that of the smallest id, and of its texts one.
 
-    Rows with a null id stay; of rows that repeat an id one stays.
+    Rows that agree in id and text are copies too.  Rows with a null id or without words stay.
     """
-    result = near_duplicates(docs, percent, width, id_col, text_col)
-    key = F.col(id_col).cast("long")
-    dropped = result.where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    kept = docs.join(dropped, key == F.col("_dropped"), "left_anti")
-    repeated = materialise(docs.groupBy(key.alias("_again")).count().where("count > 1 and _again is not null").select("_again"), "nd-again")
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, key == F.col("_again"), "left_semi").dropDuplicates([id_col])
-    return kept.join(repeated, key == F.col("_again"), "left_anti").unionByName(once)
+    in_groups = materialise(grouped(docs, percent, width, id_col, text_col).where("n > 1").select("row_a", "row_b", "first"), "nd-rows")
+    a, b, c, d = unused(docs.columns, "row_a", "row_b", "other_a", "other_b")
+    is_first = (F.col("row_a") == F.col("first.row_a")) & (F.col("row_b") == F.col("first.row_b"))
+    dropped = in_groups.where(~is_first).select(F.col("row_a").alias(c), F.col("row_b").alias(d)).distinct()
+    again = materialise(in_groups.where(is_first).groupBy(F.col("row_a").alias(c), F.col("row_b").alias(d)).count().where("count > 1").select(c, d), "nd-again")
+    row_a, row_b = row_hashes(id_col, text_col)
+    same = (F.col(a) == F.col(c)) & (F.col(b) == F.col(d))
+    kept = docs.withColumns({a: row_a, b: row_b}).join(dropped, same, "left_anti")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    once = kept.join(again, same, "left_semi").dropDuplicates([a, b])
+    return kept.join(again, same, "left_anti").unionByName(once).select(*docs.columns)
