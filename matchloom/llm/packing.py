@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.llm.common import arrow_batches, materialise, maybe_broadcast, utf8_buffer
@@ -130,7 +130,7 @@ IDS = pa.schema([("doc_id", pa.int64()), ("part", pa.int64()), ("local_offset",
 
 def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, part, local_offset, doc_tokens, ids as little-endian uint32), end id included."""
-    arrow_batches(docs.sparkSession, 2500)
+    arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, offset = WordEncoder(tokenizer_path), TaskContext.get().partitionId(), 0
@@ -159,17 +159,13 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2
     at = F.col("base") + F.col("local_offset")
     placed = ids.join(maybe_broadcast(bases, len(rows), 16), "part").withColumn("g", at)
     first, last = F.floor(F.col("g") / size), F.floor((F.col("g") + F.col("doc_tokens") - 1) / size)
-    pieces = placed.select("*", F.explode(F.sequence(first, last)).alias("sequence_id"))
-    begin = F.greatest(F.col("sequence_id") * size, F.col("g"))
-    stop = F.least((F.col("sequence_id") + 1) * size, F.col("g") + F.col("doc_tokens"))
-    cut = pieces.select(
-        "doc_id",
-        (begin - F.col("g")).alias("start"),
-        (stop - begin).alias("length"),
-        "doc_tokens",
-        "sequence_id",
-        (begin - F.col("sequence_id") * size).alias("offset"),
-        "ids",
-    )
-    piece = F.substring("ids", (F.col("start") * 4 + 1).cast("int"), (F.col("length") * 4).cast("int"))
-    return cut.select("doc_id", "start", "length", piece.alias("ids"), "doc_tokens", "sequence_id", "offset")
+
+    def piece(k: Column) -> Column:
+        begin, stop = F.greatest(k * size, F.col("g")), F.least((k + 1) * size, F.col("g") + F.col("doc_tokens"))
+        start, length = begin - F.col("g"), stop - begin
+        cut = F.substring("ids", (start * 4 + 1).cast("int"), (length * 4).cast("int"))
+        return F.struct(start.alias("start"), length.alias("length"), cut.alias("ids"), k.alias("sequence_id"), (begin - k * size).alias("offset"))
+
+    # Pieces are cut before they are rows, so that no row carries the whole document's ids.
+    pieces = placed.select("doc_id", "doc_tokens", F.explode(F.transform(F.sequence(first, last), piece)).alias("piece"))
+    return pieces.select("doc_id", "piece.start", "piece.length", "piece.ids", "doc_tokens", "piece.sequence_id", "piece.offset")
