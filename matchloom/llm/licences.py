@@ -4,7 +4,7 @@ One Aho-Corasick pass over each batch's lower-cased bytes finds words that any l
 phrase or identifier tag needs.  Only texts with such a word are cut into words; a second
 automaton then finds the phrases in the words joined by single spaces, so that a phrase
 counts wherever its words stand consecutively.  ``SPDX-License-Identifier:`` tags are read
-to the end of their line and evaluated by a shunting-yard parser (WITH binds tighter than
+to the next tag or the end of their line, however far, and evaluated by a shunting-yard parser (WITH binds tighter than
 AND, AND tighter than OR).
 
 Labels: those of BASE_PHRASES, those of NOTICES, and ``spdx:<identifier>`` for every
@@ -55,7 +55,8 @@ ANCHORS = ("license", "spdx-license-identifier", "cc", "cc0", "permission", "red
 IS_WORD = np.ones(256, bool)
 IS_WORD[0x00:0x30] = IS_WORD[0x3A:0x61] = IS_WORD[0x7B:0x80] = False
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-TAG = re.compile(rb"spdx-license-identifier:[ \t]*([^\r\n]{1,4096})")
+TAG = re.compile(rb"spdx-license-identifier:")
+LINE_END = re.compile(rb"[\r\n]")
 TOKEN = re.compile(r"\s*(\(|\)|[a-z0-9.+:-]+)", re.ASCII)
 RANK = {"or": 1, "and": 2, "with": 3}
 
@@ -65,61 +66,48 @@ def parse_expression(text: str) -> tuple[list[str], bool] | None:
 
     Reads the longest well-formed start of the line, so that comment ends after it do not matter.
     """
-    tokens, at = [], 0
+    tokens, at, depth, operand_next, good = [], 0, 0, True, 0
     while m := TOKEN.match(text, at):
-        tokens.append(m[1])
-        at = m.end()
+        token, at = m[1], m.end()
+        # What may begin an operand comes where one is due, all else where one has ended.
+        if (token not in RANK and token != ")") != operand_next or (token == ")" and not depth):
+            break
+        tokens.append(token)
+        depth += (token == "(") - (token == ")")
+        operand_next = token in RANK or token == "("
+        if not operand_next and not depth:
+            good = len(tokens)
+    if not good:
+        return None
     output: list[tuple[list[str], bool]] = []
     operators: list[str] = []
-    best = None
 
-    def reduce(out: list, ops: list) -> bool:
-        op = ops.pop()
-        if op == "(" or len(out) < 2:
-            return False
-        (b, free_b), (a, free_a) = out.pop(), out.pop()
+    def reduce() -> None:
+        op = operators.pop()
+        (b, free_b), (a, free_a) = output.pop(), output.pop()
         if op == "with":
-            out.append(([f"{a[-1]}-with-{b[0]}"], free_a))
+            a[-1] = f"{a[-1]}-with-{b[0]}"
+            output.append((a + b[1:], free_a))
         else:
-            out.append((a + b, free_a and free_b if op == "and" else free_a or free_b))
-        return True
-
-    def finished() -> tuple[list[str], bool] | None:
-        out, ops = list(output), list(operators)
-        while ops:
-            if not reduce(out, ops):
-                return None
-        return out[0] if len(out) == 1 else None
-
-    operand_next = True
-    for token in tokens:
+            a.extend(b)
+            output.append((a, free_a and free_b if op == "and" else free_a or free_b))
+
+    for token in tokens[:good]:
         if token in RANK:
-            if operand_next:
-                break
             while operators and operators[-1] != "(" and RANK[operators[-1]] >= RANK[token]:
-                reduce(output, operators)
+                reduce()
             operators.append(token)
-            operand_next = True
         elif token == "(":
-            if not operand_next:
-                break
             operators.append(token)
         elif token == ")":
-            if operand_next:
-                break
-            while operators and operators[-1] != "(":
-                reduce(output, operators)
-            if not operators:
-                break
+            while operators[-1] != "(":
+                reduce()
             operators.pop()
-            best = finished() or best
         else:
-            if not operand_next:
-                break
             output.append(([token], token in PERMISSIVE))
-            operand_next = False
-            best = finished() or best
-    return best
+    while operators:
+        reduce()
+    return output[0]
 
 
 @cache
@@ -152,8 +140,11 @@ def scan(low: bytes) -> tuple[int, int | None, int | None, str, str, float]:
             more.add(label)
             notices += 1
     tagged = False
-    for m in TAG.finditer(low):
-        if (got := parse_expression(m[1].decode("utf-8", "replace"))) is not None:
+    tags = list(TAG.finditer(low))
+    for m, following in zip(tags, [*tags, None][1:], strict=True):
+        stop = LINE_END.search(low, m.end(), following.start() if following else len(low))
+        stop = stop.start() if stop else following.start() if following else len(low)
+        if (got := parse_expression(low[m.end() : stop].decode("utf-8", "replace"))) is not None:
             tagged = True
             more.update(f"spdx:{x}" for x in got[0])
             more.add("permissive" if got[1] else "restricted")
@@ -166,7 +157,7 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base",
 
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document with the columns of RESULT."""
-    arrow_batches(docs.sparkSession, 2000)
+    arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = automata()[0]
