@@ -36,14 +36,21 @@ from matchloom.llm.common import arrow_batches
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?:script|style|template|noscript|textarea|select|svg|iframe|object|canvas|title|button|math|audio|video)\b[^>]*+>.*?(?:</(?:script|style|template|noscript|textarea|select|svg|iframe|object|canvas|title|button|math|audio|video)\s*+>|\Z)"
+    r"|<(?:script|style|template|noscript|textarea|title)\b[^>]*+>.*?(?:</(?:script|style|template|noscript|textarea|title)\s*+>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-zA-Z!?/][^>]*+>",
     re.DOTALL | re.IGNORECASE,
 )
-RAW_END = {x: re.compile(rf"</{x}\s*+>", re.IGNORECASE) for x in "script style template noscript textarea select svg iframe object canvas title button math audio video".split()}
-RAW_START = re.compile(r"<(script|style|template|noscript|textarea|select|svg|iframe|object|canvas|title|button|math|audio|video)\b", re.IGNORECASE)
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements whose text is no page text; all others are nodes or inline, and the model decides.
+RAW_END = {x: re.compile(rf"</{x}\s*+>", re.IGNORECASE) for x in "script style template noscript textarea title".split()}
+RAW_START = re.compile(r"<(script|style|template|noscript|textarea|title)\b", re.IGNORECASE)
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
+    " math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle".split()
+)
+#: Elements that stand inside a paragraph without ending it; controls, and what shows something else than its text.
+CONTROLS, FALLBACKS = frozenset("button select option optgroup meter progress output".split()), frozenset("svg canvas object iframe audio video".split())
+PHRASING = CONTROLS | FALLBACKS
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An element that starts closes these open ones, up to the nearest of the second kind.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "body": ("head", "html")}
@@ -51,7 +58,7 @@ CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSE
 KEYS = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 
 TAG_KINDS = ["nav", "header", "footer", "aside", "form", "article", "main", "p", "heading", "item", "list", "box", "cell", "table", "quote", "figure", "body", "html", "head", "hidden", "other"]
-TAG_KIND = {k: k for k in TAG_KINDS} | dict.fromkeys(["h1", "h2", "h3", "h4", "h5", "h6"], "heading") | dict.fromkeys(["li", "dt", "dd"], "item") | dict.fromkeys(["ul", "ol", "dl", "menu"], "list") | dict.fromkeys(["div", "section", "center", "address", "details", "summary"], "box") | dict.fromkeys(["td", "th", "caption"], "cell") | dict.fromkeys(["tr", "tbody", "thead", "tfoot", "table"], "table") | dict.fromkeys(["blockquote", "pre"], "quote") | dict.fromkeys(["figure", "figcaption"], "figure") | dict.fromkeys(["fieldset", "legend", "dialog"], "form")
+TAG_KIND = {k: k for k in TAG_KINDS} | dict.fromkeys(["h1", "h2", "h3", "h4", "h5", "h6"], "heading") | dict.fromkeys(["li", "dt", "dd"], "item") | dict.fromkeys(["ul", "ol", "dl", "menu"], "list") | dict.fromkeys(["div", "section", "center", "address", "details", "summary"], "box") | dict.fromkeys(["td", "th", "caption"], "cell") | dict.fromkeys(["tr", "tbody", "thead", "tfoot", "table"], "table") | dict.fromkeys(["blockquote", "pre"], "quote") | dict.fromkeys(["figure", "figcaption"], "figure") | dict.fromkeys(["fieldset", "legend", "dialog", *sorted(CONTROLS)], "form") | dict.fromkeys(sorted(FALLBACKS), "hidden")
 TAG_CODE = {k: TAG_KINDS.index(v) for k, v in TAG_KIND.items()}
 WORD_KINDS = ["none", "ad", "menu", "comment", "notice", "side", "footer", "header", "content", "form"]
 #: Words of class, id and role values, by kind; the first kind with a word in the value holds.
@@ -71,7 +78,6 @@ KEY_ORDER = [WORD_KINDS.index(k) for k in KEY_WORDS]
 LENGTHS, SHARES = (1, 20, 60, 150, 400), (0.1, 0.4, 0.8)
 #: Number of codes of (element, length, share) and of key kinds.
 SIZES = (len(TAG_KINDS) * (len(LENGTHS) + 1) * (len(SHARES) + 2), len(WORD_KINDS))
-MOST_DEPTH = 200
 
 
 def key_kind(attrs: str) -> int:
@@ -97,6 +103,7 @@ class Tree:
         self.names: list[str] = []
         self.blocks: list[tuple[int, str]] = []
         self._stack: list[int] = []
+        self._opened: dict[str, int] = {}
         self._runs: list[str] = []
         self._in_link = False
         self._read(page)
@@ -107,8 +114,6 @@ class Tree:
             self._open("html", 0)
             if name not in ("head", "body"):
                 self._open("body", 0)
-        if len(stack) >= MOST_DEPTH:
-            stack.pop()
         self.parent.append(stack[-1] if stack else -1)
         self.depth.append(len(stack))
         self.tag.append(TAG_CODE.get(name, TAG_CODE["other"]))
@@ -117,6 +122,13 @@ class Tree:
         self.links.append(0)
         self.names.append(name)
         stack.append(len(self.names) - 1)
+        self._opened[name] = self._opened.get(name, 0) + 1
+
+    def _close(self, at: int) -> None:
+        """End the open elements from that place of the stack on."""
+        for node in self._stack[at:]:
+            self._opened[self.names[node]] -= 1
+        del self._stack[at:]
 
     def _flush(self) -> None:
         if self._runs:
@@ -170,18 +182,18 @@ class Tree:
             self._flush()
             self._in_link = False
             if m["end"]:
-                for k in range(len(stack) - 1, -1, -1):
+                for k in range(len(stack) - 1, -1, -1) if self._opened.get(name) else ():
                     if names[stack[k]] == name:
-                        del stack[k:]
+                        self._close(k)
                         break
                 continue
-            if stack and names[stack[-1]] == "p":
-                stack.pop()
-            if name in CLOSES:
+            if stack and names[stack[-1]] == "p" and name not in PHRASING:
+                self._close(len(stack) - 1)
+            if name in CLOSES and any(self._opened.get(x) for x in CLOSES[name][0]):
                 closed, until = CLOSES[name]
                 for k in range(len(stack) - 1, -1, -1):
                     if names[stack[k]] in closed:
-                        del stack[k:]
+                        self._close(k)
                         if name not in ("tr", "td", "th"):
                             break
                     elif names[stack[k]] in until:
@@ -216,7 +228,7 @@ def marginals(forest: Forest, emission: list[np.ndarray], transition: np.ndarray
     n = len(belief)
     if not n:
         return np.zeros(0)
-    levels = [np.flatnonzero(forest.depth == d) for d in range(int(forest.depth.max()) + 1)]
+    levels = np.split(np.argsort(forest.depth, kind="stable"), np.cumsum(np.bincount(forest.depth))[:-1])
     step = transition[forest.parent_kind]  # (node, parent's label, own label); not read at roots
     up = np.zeros((n, 2))
     for nodes in reversed(levels[1:]):
@@ -379,10 +391,38 @@ def labelled_pages(n: int, seed: int = 7) -> list[tuple[str, list[int]]]:
     return [page() for _ in range(n)]
 
 
+def widget_pages(n: int, seed: int = 11) -> list[tuple[str, list[int]]]:
+    """Labelled pages whose articles and menus hold controls and embedded objects."""
+    rng = random.Random(seed)
+    letters = "etaoinshrdlucmfwypvbgk"
+
+    def words(n: int) -> str:
+        return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(n))
+
+    def page() -> tuple[str, list[int]]:
+        parts, labels = ["<html><body>"], [0, 0]
+        for _ in range(rng.randint(0, 2)):
+            name = rng.choice(sorted(PHRASING))
+            parts.append(f"<nav><{name}>{words(rng.randint(1, 4))}</{name}></nav>")
+            labels += [0, 0]
+        parts.append(f"<article><h1>{words(rng.randint(1, 9))}</h1>")
+        labels += [1, 1]
+        for _ in range(rng.randint(2, 8)):
+            parts.append(f"<p>{words(rng.randint(8, 80))}</p>")
+            labels.append(1)
+            if rng.random() < 0.3:
+                name = rng.choice(sorted(PHRASING))
+                parts.append(f"<{name}>{words(rng.randint(1, 6))}</{name}>")
+                labels.append(0)
+        return "".join([*parts, "</article></body></html>"]), labels
+
+    return [page() for _ in range(n)]
+
+
 @cache
 def fitted(n: int = 1500, seed: int = 7) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Log potentials counted from labelled pages: node likelihoods, transitions [kind of parent, parent, child], root prior."""
-    pages = [(Tree(p), y) for p, y in labelled_pages(n, seed)]
+    pages = [(Tree(p), y) for p, y in [*labelled_pages(n, seed), *widget_pages(n // 2, seed)]]
     pages = [(t, y) for t, y in pages if len(t.names) == len(y)]
     forest, label = Forest([t for t, _ in pages]), np.array([x for _, y in pages for x in y])
     emission = []
@@ -400,21 +440,22 @@ def fitted(n: int = 1500, seed: int = 7) -> tuple[list[np.ndarray], np.ndarray,
     return emission, np.log(pairs / pairs.sum(axis=2, keepdims=True)), np.log(roots / roots.sum())
 
 
-def main_texts(pages: list[str | None]) -> list[str]:
+def main_texts(pages: list[str | None], model: tuple[list[np.ndarray], np.ndarray, np.ndarray] | None = None) -> list[str]:
     """Main text of each page."""
     trees = [Tree(p or "") for p in pages]
     forest = Forest(trees)
-    kept = marginals(forest, *fitted()) >= 0.5
+    kept = marginals(forest, *(model or fitted())) >= 0.5
     return ["\n".join(text for node, text in t.blocks if kept[first + node]) for t, first in zip(trees, forest.first[:-1].tolist(), strict=True)]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
-    arrow_batches(pages.sparkSession, 500)
+    arrow_batches(pages.sparkSession)
+    shared = pages.sparkSession.sparkContext.broadcast(fitted())  # a few tables of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = main_texts(batch.column(2).to_pylist())
+            texts = main_texts(batch.column(2).to_pylist(), shared.value)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
