@@ -101,7 +101,7 @@ def places_of(v: np.ndarray, s: Setting) -> np.ndarray:
 
 def spread(vectors: DataFrame, s: Setting) -> DataFrame:
     """Where each vector lies: list, cell, rep, size."""
-    arrow_batches(vectors.sparkSession, 2000)
+    arrow_batches(vectors.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,7 +172,7 @@ def links(vectors: DataFrame, s: Setting) -> DataFrame:
     dealt = tiled(cells.join(sizes, ["list", "cell", "size"]), F.col("mates"), F.xxhash64("rep"), TILE)
     rows = dealt.select(*keys, "side", "rep").join(vectors.select("rep", "times", "vector"), "rep")
     sorted_in = rows.repartition(*keys).sortWithinPartitions(*keys)
-    arrow_batches(vectors.sparkSession, 2000)
+    arrow_batches(vectors.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, keys):

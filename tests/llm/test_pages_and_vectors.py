@@ -10,6 +10,21 @@ from matchloom.llm import collisions, htmltext
 # 6: pages
 
 
+ARTICLE = "<article><h1>A title</h1><p>The area is <math><mi>a</mi></math> squared and long enough to be seen.</p><p>Second part of the article here, with some words.</p>"
+
+
+def test_unended_controls_lose_nothing():
+    got = htmltext.main_texts([f"<html><body><nav><button>Menu</nav>{ARTICLE}<button>Share</article><footer>x</footer></body></html>", f"<html><body>{ARTICLE}<canvas>none</canvas><p>A third part that is quite long too.</p></article></body></html>"])
+    assert "The area is a squared" in got[0] and "Second part" in got[0] and "Menu" not in got[0] and "Share" not in got[0]
+    assert "The area is a squared" in got[1] and "A third part" in got[1] and "none" not in got[1]
+
+
+def test_deep_pages():
+    text = "The deep text of this article is here, with some more words to make it long enough for all."
+    for depth in (10, 3000):
+        assert htmltext.main_texts([f"<html><body>{'<div>' * depth}<p>{text}</p>{'</div>' * depth}</body></html>"]) == [text]
+
+
 def test_main_text_of_a_page():
     page = (
         '<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Home</a></li></ul></nav>'
