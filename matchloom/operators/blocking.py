@@ -11,11 +11,11 @@ Order: cards that match both keys, then number matches, then name matches; then
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sides below this many rows may be broadcast for the names without a usable gram.
-SMALL_ROWS = 10_000
+#: Characters of the pieces that names are joined on; names without a piece of the first length have one of the next.
+PIECES = (3, 2, 1)
 
 
 def _first(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
@@ -23,20 +23,34 @@ def _first(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).drop("_n")
 
 
+def _pieces(name: str, size: int) -> Column:
+    """Distinct parts of that many characters."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(name) - (size - 1), F.lit(1)))
+    return F.filter(F.array_distinct(F.transform(at, lambda k: F.substring(name, k, F.lit(size)))), lambda x: F.length(x) == size)
+
+
 def contained_names(observed: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs (obs_name, card_name) of distinct names with card_name LIKE %obs_name%.
 
-    A three-character piece of the observed name without a wildcard must be in the card's
-    name as it stands, so the pairs come from an equi-join on such pieces; the rest of
-    the pattern is then checked.  Names without such a piece (under three characters) are
-    few kinds of strings and are compared with all names.
+    A piece of the observed name without a wildcard must be in the card's name as it stands, so the pairs
+    come from an equi-join on pieces; the rest of the pattern is then checked.  Each observed name is
+    joined on the piece of its own that fewest known names have, so that a common one is no hot key.
+    Names of wildcards alone, of which there is one for each length, are compared with all names.
     """
-    observed = observed.withColumn("gram", F.regexp_extract("obs_name", "[^_]{3}", 0))
-    grams = known.select("card_name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("card_name") - 2, F.lit(1))), lambda k: F.substring("card_name", k, F.lit(3))))).alias("gram"))
     like = F.expr("card_name LIKE concat('%', obs_name, '%')")
-    usual = observed.where("gram != ''").join(grams, "gram").where(like).select("obs_name", "card_name")
-    short = observed.where("gram = ''").select("obs_name")
-    return usual.unionByName(short.join(known, like).select("obs_name", "card_name"))
+    plain = [F.filter(_pieces("obs_name", size), lambda x: ~x.contains("_")) for size in PIECES]
+    usable = F.lit(None)
+    for pieces in reversed(plain):
+        usable = F.when(F.size(pieces) > 0, pieces).otherwise(usable)
+    names = observed.select("obs_name", usable.alias("pieces"))
+    grams = known.select("card_name", F.explode(F.concat(*[_pieces("card_name", size) for size in PIECES])).alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    # A piece that no known name has decides the matter: it is the rarest, and joins with nothing.
+    counted = names.select("obs_name", F.explode("pieces").alias("gram")).join(counts, "gram", "left")
+    rarest = counted.groupBy("obs_name").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    found = rarest.join(grams, "gram").where(like).select("obs_name", "card_name")
+    wild = names.where("pieces IS NULL AND obs_name != ''").select("obs_name")
+    return found.unionByName(known.join(F.broadcast(wild), like).select("obs_name", "card_name"))
 
 
 def block(observations: DataFrame, catalog: DataFrame, limit: int = 8) -> DataFrame:

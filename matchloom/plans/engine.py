@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -43,21 +44,37 @@ def read_keys(scans: DataFrame) -> DataFrame:
     return scans.withColumn("obs_name", normalize_name(F.col("raw_name"))).withColumn("obs_number", normalize_number(F.col("raw_number")))
 
 
+def cached(df: DataFrame) -> DataFrame:
+    """df, made once however often it is used; what a lost executor held is made again."""
+    return df.persist()
+
+
 @dataclass(frozen=True)
 class Engine:
-    """Stages of a recognition; any may be replaced."""
+    """Stages of a recognition; any may be replaced.
+
+    ``keep`` holds on to the two frames that a plan reads several times: scans with their keys, whose
+    Unicode forms come from Python, and ranked candidates.  Callers that run many plans in one session
+    free them with ``spark.catalog.clearCache()`` or pass a ``keep`` of their own (such as a write
+    to a shared folder, or the identity).
+    """
 
     options: Options = field(default_factory=Options)
     reader: Reader = read_keys
     blocker: Blocker = blocking.block
     scorer: Scorer = evidence.gather
     pricer: Pricer = enrichment.with_prices
+    keep: Callable[[DataFrame], DataFrame] = cached
+
+    def read(self, scans: DataFrame) -> DataFrame:
+        """Raw scans with their keys, read once."""
+        return self.keep(self.reader(scans))
 
     def ranked(self, scans: DataFrame, catalog: DataFrame) -> DataFrame:
         """Candidates of raw scans with scores, rank and runner_up."""
-        read = self.reader(scans)
+        read = self.read(scans)
         candidates = self.blocker(read, catalog, self.options.candidate_limit)
-        return decision.rank(self.scorer(candidates, read, catalog))
+        return self.keep(decision.rank(self.scorer(candidates, read, catalog)))
 
     def recognize(self, scans: DataFrame, catalog: DataFrame, prices: DataFrame) -> DataFrame:
         """One row per scan: status, confidence, card_id and its price where matched, message."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from matchloom.functions import display, geometry, text, vectors
 from matchloom.operators import admission, blocking, catalog, ctc, decision, enrichment, evidence, metric, quality, uploads
 from matchloom.plans import fixtures as fx
-from matchloom.plans.engine import Engine, read_keys
+from matchloom.plans.engine import Engine
 from matchloom.plans.options import Options
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,7 +33,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def _read(spark: SparkSession, sf_dir: str) -> tuple[fx.Fixture, DataFrame]:
     f = fx.cards(spark, sf_dir)
-    return f, read_keys(f.scans)
+    return f, Engine().read(f.scans)
 
 
 # Text keys

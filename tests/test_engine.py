@@ -210,3 +210,17 @@ def test_bounded_upload_source(spark, tmp_path):
     (tmp_path / "small.bin").write_bytes(b"x" * 10)
     (tmp_path / "large.bin").write_bytes(b"x" * 1000)
     assert [r.size for r in readers.uploads(spark, str(tmp_path), 100).collect()] == [10]
+
+
+def test_contained_names_as_brute_force(spark):
+    """Short names, wildcards alone and common pieces included."""
+    import random
+    import re
+
+    from matchloom.operators.blocking import contained_names
+
+    rng = random.Random(1)
+    known = sorted({"".join(rng.choice("abc_ ") for _ in range(rng.randint(1, 8))) for _ in range(120)})
+    seen = sorted({"".join(rng.choice("abc_") for _ in range(rng.randint(1, 5))) for _ in range(120)} | {"_", "__", "zzzz"})
+    got = contained_names(spark.createDataFrame([(x,) for x in seen], "obs_name string"), spark.createDataFrame([(x,) for x in known], "card_name string")).collect()
+    assert {(r.obs_name, r.card_name) for r in got} == {(o, k) for o in seen for k in known if re.search(re.escape(o).replace("_", "."), k)}
