@@ -18,7 +18,7 @@
 
 Bands take the most samples each with which a pair right at the similarity still shares a key
 with probability REACHED (6 samples in 21 bands at 0.85, 5 in 25 at 0.80), and its sketches pass but
-for what lies SIGMAS deviations out (1 in 30,000).
+for what lies SIGMAS deviations out (about 1 in 200 of pairs right at the similarity).
 
 Defined results: null, empty or wordless texts have an empty set and link with nothing;
 a null id is its own row without a component, kept; repeated rows are one class; rows of one
@@ -40,9 +40,9 @@ from matchloom.llm.shingles import mix, shingle_sets
 from matchloom.llm.tiles import bounds, groups, tiled
 
 SAMPLES, SKETCH_BITS = 128, 512
-REACHED, SIGMAS = 0.9995, 4.0
+REACHED, SIGMAS = 0.9995, 2.6
 #: Members of a bucket compared in one task; larger buckets are split.
-TILE = 256
+TILE = 4096
 #: Closest mates tried in each round; None: all that are left.
 ROUNDS: tuple[int | None, ...] = (3, None)
 _WORDS = SKETCH_BITS // 64
