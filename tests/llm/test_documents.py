@@ -727,3 +727,21 @@ def test_lines_of_repeated_ids(spark):
     got = sorted((r.source, r.text, r.n_dropped) for r in linededup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect())
     first = "first line\nsecond"
     assert got in ([("a", first, 0), ("b", "other", 1), ("c", "", 1), ("c", "", 1), ("d", "second", 0)], [("a", "second", 1), ("b", "other\nfirst line", 0), ("c", "", 1), ("c", "", 1), ("d", "second", 0)])
+
+
+def test_grams_tell_only_unlike_lines_apart(spark):
+    """Pairs at the limit of similarity share enough grams, other lines few; lines of few different windows are always compared."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(150):
+        line = words(rng, 60)
+        one = list(line)
+        for at in rng.sample(range(len(one)), len(one) * 15 // 100):
+            one[at] = "z"
+        rows += [(3 * k, line), (3 * k + 1, "".join(one)), (3 * k + 2, words(rng, 60))]
+    rows += [(1000, "ab " * 100), (1001, "ab " * 99 + "xyz")]
+    grams = {r.node: set(r.grams) for r in linededup.with_grams(spark.createDataFrame(rows, "node long, norm string")).collect()}
+    shared = [len(grams[3 * k] & grams[3 * k + 1]) for k in range(150)]
+    apart = [len(grams[3 * k] & grams[3 * k + 2]) for k in range(150)]
+    assert min(shared) >= linededup.SHARED > sorted(apart)[100]
+    assert len(grams[1000]) < linededup.GRAMS and len(grams[1001]) < linededup.GRAMS
