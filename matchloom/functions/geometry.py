@@ -1,4 +1,4 @@
-"""Quadrilaterals as arrays of four points struct<x, y>."""
+"""Quadrilaterals as arrays of four points struct<x, y> (C11, C12, E9, E10, G3), sharpness of pixel arrays."""
 
 from __future__ import annotations
 
@@ -61,3 +61,28 @@ def whole_image_is_card(width: Column, height: Column) -> Column:
     """Whether the whole picture has a card's shape."""
     ratio = F.try_divide(F.least(width, height).cast("double"), F.greatest(width, height).cast("double"))
     return F.coalesce(ratio.between(*WHOLE_IMAGE_RATIO), F.lit(False))
+
+
+def largest_contours(contours: Column, keep: int = 2) -> Column:
+    """The ``keep`` contours of largest area, largest first; of equal ones the earlier first."""
+    keyed = F.transform(contours, lambda c, i: F.struct((-area(c)).alias("a"), i.alias("i"), c.alias("c")))
+    return F.transform(F.slice(F.array_sort(keyed), 1, keep), lambda k: k["c"])
+
+
+def laplacian_variance(pixels: Column, width: int) -> Column:
+    """Variance of the four-neighbour Laplacian of a grey image, given row by row (E8); null for fewer than two rows or columns.
+
+    Beyond an edge the image is mirrored about its outermost pixels.
+    """
+    w, n = F.lit(width), F.size(pixels)
+    at = lambda i: F.get(pixels, i).cast("double")
+
+    def response(i: Column) -> Column:
+        left, right = F.when(i % w == 0, i + 1).otherwise(i - 1), F.when(i % w == w - 1, i - 1).otherwise(i + 1)
+        up, down = F.when(i < w, i + w).otherwise(i - w), F.when(i >= n - w, i - w).otherwise(i + w)
+        return at(left) + at(right) + at(up) + at(down) - at(i) * 4
+
+    responses = F.transform(F.sequence(F.lit(0), n - 1), response)
+    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda total, x: total + x) / n
+    centred = F.transform(responses, lambda x: x - mean(responses))
+    return F.when((n >= 2 * w) & (w >= 2) & (n % w == 0), mean(F.transform(centred, lambda x: x * x)))

@@ -479,7 +479,7 @@ def _quads(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CORNERS_SQL = f"""
 q AS (SELECT l_orderkey, l_linenumber, {_QUAD} FROM lineitem),
 l AS (SELECT l_orderkey, l_linenumber, [{{'x': x2::DOUBLE, 'y': y2::DOUBLE}}, {{'x': x3::DOUBLE, 'y': y3::DOUBLE}}, {{'x': x0::DOUBLE, 'y': y0::DOUBLE}}, {{'x': x1::DOUBLE, 'y': y1::DOUBLE}}] AS p FROM q),
-c AS (SELECT l_orderkey, l_linenumber,
+c AS (SELECT l_orderkey, l_linenumber, p,
   list_sort(list_transform(p, lambda a, i: {{'k': a.x + a.y, 'i': i, 'p': a}}))[1].p AS tl, list_sort(list_transform(p, lambda a, i: {{'k': a.y - a.x, 'i': i, 'p': a}}))[1].p AS tr,
   list_sort(list_transform(p, lambda a, i: {{'k': -(a.x + a.y), 'i': i, 'p': a}}))[1].p AS br, list_sort(list_transform(p, lambda a, i: {{'k': -(a.y - a.x), 'i': i, 'p': a}}))[1].p AS bl FROM l)
 """
@@ -499,6 +499,51 @@ def quad_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quads(spark, sf_dir).select("l_orderkey", "l_linenumber", ratio.alias("ratio")).withColumn("card_sides", F.col("ratio").between(*geometry.SIDE_RATIO))
 
 
+_AREA_SQL = "abs(x2*y3 - x3*y2 + x3*y0 - x0*y3 + x0*y1 - x1*y0 + x1*y2 - x2*y1) / 2"
+
+
+@query(f"""WITH q AS (SELECT l_orderkey, l_linenumber, {_QUAD} FROM lineitem), a AS (SELECT l_orderkey, l_linenumber, {_AREA_SQL} AS area FROM q),
+r AS (SELECT l_orderkey, area, row_number() OVER (PARTITION BY l_orderkey ORDER BY area DESC) AS place FROM a)
+SELECT l_orderkey, place, round(area, 3) AS area FROM r WHERE place <= 2""")
+def largest_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two largest of each order's quads."""
+    listed = _quads(spark, sf_dir).groupBy("l_orderkey").agg(F.collect_list("points").alias("quads"))  # an order has few lines
+    kept = listed.select("l_orderkey", F.posexplode(geometry.largest_contours(F.col("quads"))).alias("at", "points"))
+    return kept.select("l_orderkey", (F.col("at") + 1).cast("long").alias("place"), F.round(geometry.area(F.col("points")), 3).alias("area"))
+
+
+_CROSS = ["(x3-x2)*(y0-y3) - (y3-y2)*(x0-x3)", "(x0-x3)*(y1-y0) - (y0-y3)*(x1-x0)", "(x1-x0)*(y2-y1) - (y1-y0)*(x2-x1)", "(x2-x1)*(y3-y2) - (y2-y1)*(x3-x2)"]
+
+
+@query(f"""WITH q AS (SELECT l_orderkey, l_linenumber, {_QUAD} FROM lineitem)
+SELECT l_orderkey, l_linenumber, round({_AREA_SQL}, 3) AS area, least({", ".join(_CROSS)}) >= 0 OR greatest({", ".join(_CROSS)}) <= 0 AS convex FROM q""")
+def contour_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = F.col("points")
+    return _quads(spark, sf_dir).select("l_orderkey", "l_linenumber", F.round(geometry.area(points), 3).alias("area"), geometry.is_convex(points).alias("convex"))
+
+
+@query("""WITH g AS (SELECT vec_id, list_transform(embedding, lambda x: floor((x::DOUBLE + 1) * 127.5)) AS v FROM embeddings),
+p AS (SELECT vec_id, v, unnest(range(0, 64)) AS i FROM g),
+l AS (SELECT vec_id, v[CASE WHEN i % 8 = 0 THEN i + 1 ELSE i - 1 END + 1] + v[CASE WHEN i % 8 = 7 THEN i - 1 ELSE i + 1 END + 1]
+  + v[CASE WHEN i < 8 THEN i + 8 ELSE i - 8 END + 1] + v[CASE WHEN i >= 56 THEN i - 8 ELSE i + 8 END + 1] - 4 * v[i + 1] AS r FROM p)
+SELECT vec_id, avg(r * r) - avg(r) * avg(r) AS variance FROM l GROUP BY vec_id""")
+def blur_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sharpness of grey images of 8 by 8, made of the vectors; whole numbers keep both sides exact."""
+    grey = F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 127.5).cast("double"))
+    images = fx.tables(spark, sf_dir, "embeddings")[0].select("vec_id", grey.alias("pixels"))
+    return images.select("vec_id", geometry.laplacian_variance(F.col("pixels"), 8).alias("variance"))
+
+
+@query(f"""WITH {_CORNERS_SQL}, e AS (SELECT l_linenumber, l_orderkey % 5 != 0 AS hit, (sqrt((tl.x-p[1].x)**2 + (tl.y-p[1].y)**2) + sqrt((tr.x-p[2].x)**2 + (tr.y-p[2].y)**2)
+  + sqrt((br.x-p[3].x)**2 + (br.y-p[3].y)**2) + sqrt((bl.x-p[4].x)**2 + (bl.y-p[4].y)**2)) / 4 AS apart FROM c)
+SELECT l_linenumber, round(avg(hit::INT), 6) AS success, round(avg(CASE WHEN hit THEN apart END), 6) AS corner_error, count(*) AS n FROM e GROUP BY l_linenumber""")
+def localization_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Found corners, lost in every fifth order, against the given ones."""
+    corners = F.when(F.col("l_orderkey") % 5 != 0, geometry.ordered_corners(F.col("points")))
+    found = quality.localization(_quads(spark, sf_dir).withColumns({"corners": corners, "true_corners": F.col("points")}), ["l_linenumber"])
+    return found.select("l_linenumber", F.round("success", 6).alias("success"), F.round("corner_error", 6).alias("corner_error"), "n")
+
+
 @query(f"""WITH {_UPLOADS_SQL}, w AS (SELECT upload_id, coalesce(least(width, height)::DOUBLE / greatest(width, height) BETWEEN 0.62 AND 0.78, false) AS whole, upload_id % 3 AS n, (upload_id % 70)::DOUBLE AS blur FROM u)
 SELECT upload_id, whole, CASE WHEN n > 1 THEN 'multiple_cards' WHEN n = 0 AND NOT whole THEN 'card_not_found' WHEN blur < 34 THEN 'image_too_blurry' END AS code FROM w""")
 def locate_card(spark: SparkSession, sf_dir: str) -> DataFrame:
