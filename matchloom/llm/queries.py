@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import collisions, decontamination, htmltext, langid, licences, linededup, neardup, packing, pii, sharding
+from matchloom.llm import collisions, decontamination, htmltext, importance, langid, licences, linededup, merkle, neardup, packing, pii, sharding, suffixes
 from matchloom.llm.common import table
 
 
@@ -78,6 +78,24 @@ def op10_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of 100-byte strings that start earlier in the table too."""
+    return suffixes.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents of at least 20 words, drawn by their likeness to the benchmark."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, least_words=20, seed="2024")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its Merkle proof, and whether it holds for a table in which one row in seven has a wrong length."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    out = merkle.manifest(docs, claimed={"n_chars": F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))})
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_min_cost_reshard, op2_collision_counting, op3_language_id, op4_minhash_odd_sketch, op5_packing, op6_html_main_text, op7_pii_disclosure, op8_license_scan, op9_decontamination, op10_fuzzy_line_dedup)
+    named = (op1_min_cost_reshard, op2_collision_counting, op3_language_id, op4_minhash_odd_sketch, op5_packing, op6_html_main_text, op7_pii_disclosure, op8_license_scan, op9_decontamination, op10_fuzzy_line_dedup, op11_suffix_array_dedup, op12_importance_resampling, op13_merkle_manifest)
     return {f.__name__: f for f in named}
