@@ -80,7 +80,9 @@ def op10_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the bytes of 100-byte strings that start earlier in the table too."""
-    return suffixes.dedup_substrings(table(spark, sf_dir, "documents"))
+    out = suffixes.dedup_substrings(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
