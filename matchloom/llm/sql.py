@@ -72,4 +72,73 @@ SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coa
 FROM d LEFT JOIN digests USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op2_collision_counting": EMBEDDINGS, "op4_minhash_odd_sketch": NEAR_DUPLICATES, "op7_pii_disclosure": PERSONAL_DATA}
+REPEATED_STRINGS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, substr(x, 2 * i + 1, 200) AS s FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 99)) AS i FROM d WHERE length(x) >= 200)),
+gone AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+marked AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 100, true)::INTEGER AS opens FROM gone),
+runs AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+spans AS (SELECT doc_id, min(i) AS s, max(i) + 100 AS e FROM runs GROUP BY doc_id, run),
+placed AS (SELECT doc_id, s, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM spans),
+cut AS (SELECT doc_id, sum(e - s) AS removed, count(*) AS n, max(e) AS last, string_agg(substr(x, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) AS head FROM placed JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+# CRC-32 (reversed polynomial 0xEDB88320) of column s of a relation named keys.
+_CRC32 = """
+crc_table AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+crc_bytes AS (SELECT s, list_transform(range(length(hex(encode(s))) // 2), lambda k: CAST(instr('0123456789ABCDEF', substr(hex(encode(s)), 2 * k + 1, 1)) * 16 + instr('0123456789ABCDEF', substr(hex(encode(s)), 2 * k + 2, 1)) - 17 AS BIGINT)) AS b FROM keys),
+crcs AS (SELECT s, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t[xor(c, x) % 256 + 1])), 4294967295::BIGINT) AS crc FROM crc_bytes, crc_table)
+"""
+
+RESAMPLED = rf"""
+WITH texts AS (SELECT doc_id, text, true AS mine FROM documents UNION ALL SELECT item_id, text, false FROM benchmark),
+split AS (SELECT doc_id, mine, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM texts),
+words AS (SELECT doc_id, mine, unnest(ws) AS s FROM split),
+keys AS (SELECT DISTINCT s FROM words), {_CRC32},
+hashed AS (SELECT doc_id, mine, crc % 10000 AS bucket FROM words JOIN crcs USING (s)),
+n AS (SELECT bucket, count(*) FILTER (mine)::DOUBLE AS s, count(*) FILTER (NOT mine)::DOUBLE AS t FROM hashed GROUP BY bucket),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM n) + 10000) / ((s + 1) * ((SELECT sum(t) FROM n) + 10000)))) AS BIGINT) AS gain FROM n),
+weights AS (SELECT doc_id, CAST(sum(gain) AS BIGINT) AS weight FROM hashed JOIN gains USING (bucket) WHERE mine GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 9), lambda k: CAST(instr('0123456789abcdef', substr(sha256('2024:' || doc_id), k, 1)) - 1 AS BIGINT))), lambda a, x: a * 16 + x) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM split LEFT JOIN weights USING (doc_id) WHERE mine),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS of FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * of // 100 THEN r END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+_VALUE = "coalesce(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || {0}, '-')"
+_ENCODED = " || ".join(_VALUE.format(c) for c in ("doc_id", "source", "lang", "{n_chars}", "text"))
+
+MANIFEST = f"""
+WITH RECURSIVE keys AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS s FROM documents), {_CRC32},
+leaves AS (
+  SELECT doc_id, lang, sha256({_ENCODED.format(n_chars="n_chars")}) AS leaf, sha256({_ENCODED.format(n_chars="(n_chars + (crc % 7 = 0)::INTEGER)")}) AS claimed
+  FROM documents JOIN crcs ON crcs.s = CAST(doc_id AS VARCHAR)),
+groups AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM (SELECT DISTINCT lang FROM documents)),
+placed AS (SELECT l.*, g, row_number() OVER (PARTITION BY g ORDER BY doc_id, leaf) - 1 AS i FROM leaves l JOIN groups ON groups.lang IS NOT DISTINCT FROM l.lang),
+nodes(g, level, i, n, h) AS (
+  SELECT g, 0, i, count(*) OVER (PARTITION BY g), leaf FROM placed
+  UNION ALL SELECT g, max(level) + 1, i // 2, (max(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY g, i // 2),
+subroots AS (SELECT g, h FROM nodes WHERE n = 1),
+tops(level, i, n, h) AS (
+  SELECT 0, g, count(*) OVER (), h FROM subroots
+  UNION ALL SELECT max(level) + 1, i // 2, (max(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY i // 2),
+depth AS (SELECT g, max(level) AS d FROM nodes GROUP BY g),
+steps AS (
+  SELECT p.doc_id, p.leaf, level, p.i >> level AS place, n.h FROM placed p JOIN nodes n ON n.g = p.g AND n.n > 1 AND n.i = xor(p.i >> level, 1)
+  UNION ALL SELECT p.doc_id, p.leaf, d + level, p.g >> level, t.h FROM placed p JOIN depth USING (g) JOIN tops t ON t.n > 1 AND t.i = xor(p.g >> level, 1)),
+proofs AS (SELECT doc_id, leaf, string_agg(h, '' ORDER BY level) AS proof FROM steps GROUP BY ALL),
+folds(doc_id, leaf, g, level, h) AS (
+  SELECT doc_id, leaf, g, 0, claimed FROM placed
+  UNION ALL SELECT f.doc_id, f.leaf, f.g, f.level + 1, sha256(CASE WHEN s.place % 2 = 1 THEN s.h || f.h ELSE f.h || coalesce(s.h, '') END)
+  FROM folds f JOIN depth USING (g) LEFT JOIN steps s ON s.doc_id = f.doc_id AND s.leaf = f.leaf AND s.level = f.level WHERE f.level < d + (SELECT max(level) FROM tops))
+SELECT p.doc_id, p.leaf, r.h AS subroot, t.h AS root, sha256(coalesce(proof, '')) AS proof_sha256, f.h AS folded_root, f.h = t.h AS verified
+FROM placed p JOIN subroots r USING (g) JOIN depth USING (g) LEFT JOIN proofs q ON q.doc_id = p.doc_id AND q.leaf = p.leaf
+JOIN folds f ON f.doc_id = p.doc_id AND f.leaf = p.leaf, (SELECT h FROM tops WHERE n = 1) t WHERE f.level = d + (SELECT max(level) FROM tops)
+"""
+
+ORACLE: dict[str, str] = {"op2_collision_counting": EMBEDDINGS, "op4_minhash_odd_sketch": NEAR_DUPLICATES, "op7_pii_disclosure": PERSONAL_DATA, "op11_suffix_array_dedup": REPEATED_STRINGS, "op12_importance_resampling": RESAMPLED, "op13_merkle_manifest": MANIFEST}
