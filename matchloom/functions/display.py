@@ -41,6 +41,14 @@ def request_id(header: Column, otherwise: Column) -> Column:
     return F.substring(F.coalesce(header, otherwise), 1, REQUEST_ID_LENGTH)
 
 
+def name_uuid(*parts: Column) -> Column:
+    """A UUID that the parts decide (I18): of version 8, whose bits are the maker's own, here from a SHA-256 of the parts and their lengths."""
+    told = F.concat(*[F.coalesce(F.concat(F.octet_length(p.cast("string")).cast("string"), F.lit(":"), p.cast("string")), F.lit("-")) for p in parts])
+    h = F.sha2(told, 256)
+    variant = F.substring(F.lit("89ab"), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("8"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
 def percent_decode(x: Column) -> Column:
     """Percent decoding; null where malformed; a plus is a plus."""
     return F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B")))
@@ -62,12 +70,32 @@ def display_name(full_name: Column, encoded: Column, email: Column) -> Column:
     return F.when(F.coalesce(email, F.lit("")) != "", F.coalesce(F.nullif(name, F.lit("")), email))
 
 
+def resolved(path: Column) -> Column:
+    """A path with its dot segments, plain or percent-encoded, taken out as browsers do; backslashes are slashes."""
+    segments = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
+    folded = lambda s: F.replace(F.lower(s), F.lit("%2e"), F.lit("."))
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(
+        F.slice(segments, F.lit(2), F.greatest(F.size(segments) - 1, F.lit(0))), none,
+        lambda done, s: F.when(folded(s) == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(folded(s) == ".", done).otherwise(F.concat(done, F.array(s))),
+    )
+    # A dot segment at the end leaves a folder.
+    last = F.when(folded(F.element_at(segments, -1)).isin(".", ".."), F.array(F.lit(""))).otherwise(none)
+    return F.concat(F.lit("/"), F.array_join(F.concat(kept, last), "/"))
+
+
 def safe_path(value: Column, reserved: tuple[str, ...] = ()) -> Column:
-    """A path of this site with its query and fragment, else / (C17)."""
-    local = F.concat(F.lit("https://local.invalid"), value)
-    path = F.coalesce(F.try_parse_url(local, F.lit("PATH")), F.lit("/"))
-    tail = F.concat(F.coalesce(F.concat(F.lit("?"), F.try_parse_url(local, F.lit("QUERY"))), F.lit("")), F.coalesce(F.concat(F.lit("#"), F.try_parse_url(local, F.lit("REF"))), F.lit("")))
-    good = value.startswith("/") & ~value.startswith("//") & F.try_parse_url(local, F.lit("HOST")).isNotNull()
+    """A path of this site with its query and fragment, else / (C17).
+
+    Tabs and line ends are dropped and dot segments resolved before anything is judged, so neither a second slash nor a
+    reserved path can hide behind them.  Characters that are not allowed in paths make it /.
+    """
+    clean = F.regexp_replace(value, r"[\t\n\r]", "")
+    head, tail = F.regexp_extract(clean, r"^[^?#]*", 0), F.regexp_replace(clean, r"^[^?#]*", "")
+    slashes = F.replace(head, F.lit("\\"), F.lit("/"))
+    path = resolved(head)
+    parsed = F.try_parse_url(F.concat(F.lit("https://local.invalid"), path), F.lit("HOST"))
+    good = value.startswith("/") & ~value.startswith("//") & slashes.startswith("/") & ~slashes.startswith("//") & parsed.isNotNull()
     if reserved:
         good = good & ~path.isin(*reserved)
     return F.when(good, F.concat(path, tail)).otherwise("/")

@@ -1,4 +1,4 @@
-"""Per-client admission over a request history.
+"""Per-client admission over a request history (J1 to J4, E12, F4), through outages of the shared counter.
 
 Whether a request is let in depends on earlier decisions, so each client's requests are
 folded in time order.  Partitions are sorted by client and time and streamed through the
@@ -11,9 +11,11 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.operators.asof import asof
+
 UNKNOWN_CLIENT = "unknown"
 
 
@@ -45,26 +47,60 @@ class FixedWindow:
         return self.count <= self.limit
 
 
-MODES: dict[str, Callable[[int, int], SlidingLog | FixedWindow]] = {"sliding": SlidingLog, "fixed": FixedWindow}
+class Failover:
+    """The fixed window while the shared counter answers, the local log while it is down.
+
+    Each keeps its own state while the other decides: a window that was open before an outage goes on after it,
+    and the log of one outage still counts in the next.
+    """
+
+    def __init__(self, limit: int, window: int, opened: int | None = None, count: int = 0, admitted: list[int] | None = None) -> None:
+        self.shared, self.local = FixedWindow(limit, window, opened, count), SlidingLog(limit, window, admitted)
+
+    def allow(self, now: int, down: bool = False) -> bool:
+        return self.local.allow(now) if down else self.shared.allow(now)
+
+
+MODES: dict[str, Callable[[int, int], SlidingLog | FixedWindow | Failover]] = {"sliding": SlidingLog, "fixed": FixedWindow, "failover": Failover}
+
+
+def mark_outages(requests: DataFrame, outages: DataFrame) -> DataFrame:
+    """requests with ``down``: whether its time lies in an outage (began, ended: from the first, before the second).
+
+    Outages may overlap; they are first joined where they do, so at most one holds any time.
+    """
+    begun = asof(requests.withColumn("_all", F.lit(0)), merged_outages(outages).withColumn("_all", F.lit(0)), "_all", "ts", "began", ["ended"])
+    return begun.withColumn("down", F.coalesce(F.col("ts").cast("timestamp") < F.col("ended"), F.lit(False))).drop("_all", "ended")
+
+
+def merged_outages(outages: DataFrame) -> DataFrame:
+    """Outages (began, ended) that overlap or touch as one; empty ones go.  There are few outages: they are events of operation, not requests."""
+    given = outages.select(F.col("began").cast("timestamp").alias("began"), F.col("ended").cast("timestamp").alias("ended")).where("began < ended")
+    before = Window.orderBy("began", "ended").rowsBetween(Window.unboundedPreceding, -1)
+    opens = F.coalesce(F.col("began") > F.max("ended").over(before), F.lit(True)).cast("int")
+    numbered = given.withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(Window.orderBy("began", "ended")))
+    return numbered.groupBy("_run").agg(F.min("began").alias("began"), F.max("ended").alias("ended")).drop("_run")
 
 
 def admit(requests: DataFrame, limit: int = 30, window_seconds: float = 60.0, mode: str = "sliding") -> DataFrame:
-    """requests (request_id, client, ts) with allowed; ties in time go by request_id, a null client is one client."""
+    """requests (request_id, client, ts, and down for mode failover) with allowed; ties in time go by request_id, a null client is one client, a null down is false."""
     make, window = MODES[mode], int(window_seconds * 1_000_000)
+    down = F.coalesce(F.col("down"), F.lit(False)) if mode == "failover" else F.lit(False)
     rows = requests.select(
         F.col("request_id").cast("long").alias("request_id"),
         F.coalesce(F.col("client").cast("string"), F.lit(UNKNOWN_CLIENT)).alias("client"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
+        down.alias("down"),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client, state = None, None
         for batch in batches:
             allowed = []
-            for who, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for who, at, off in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if who != client:
                     client, state = who, make(limit, window)
-                allowed.append(state.allow(at))
+                allowed.append(state.allow(at, off) if mode == "failover" else state.allow(at))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(allowed, pa.bool_())], names=["request_id", "client", "allowed"])
 
     return rows.repartition("client").sortWithinPartitions("client", "at", "request_id").mapInArrow(run, "request_id long, client string, allowed boolean")

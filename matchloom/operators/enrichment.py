@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.functions.display import name_uuid
+
 CARD_FIELDS = ("card_id", "name", "set_name", "collector_number", "printed_total", "rarity", "language", "image_url", "marketplace_url")
 
 
@@ -48,3 +50,21 @@ def responses(decisions: DataFrame, ranked: DataFrame, catalog: DataFrame, price
     found = decisions.join(listed, "scan_id", "left")
     candidates = F.coalesce(F.transform("r", lambda x: x["candidate"]), F.array())
     return found.select("scan_id", "status", "confidence", F.when(F.col("status") == "matched", F.get(candidates, F.lit(0))["card"]).alias("card"), candidates.alias("candidates"), "message")
+
+
+def identified(results: DataFrame, timings: DataFrame, created_at: Column) -> DataFrame:
+    """results (scan_id, others) with recognition_id, processing_ms and created_at.
+
+    The id follows from the scan and the time of its run, so that running the same scans again makes the same ids.
+    processing_ms is the sum of the scan's stages in timings (scan_id, stage, ms), rounded to two digits; 0 without any.
+    """
+    spent = timings.groupBy("scan_id").agg(F.round(F.sum("ms"), 2).alias("processing_ms"))
+    dated = results.join(spent, "scan_id", "left").withColumn("processing_ms", F.coalesce("processing_ms", F.lit(0.0)))
+    return dated.withColumns({"created_at": created_at, "recognition_id": name_uuid(F.col("scan_id"), F.unix_micros(created_at))})
+
+
+def wire(identified_responses: DataFrame) -> DataFrame:
+    """Responses with their identity as (scan_id, response): JSON text with every field, null ones too, times in ISO form."""
+    fields = ["recognition_id", "status", "card", "confidence", "candidates", "processing_ms", "message"]
+    options = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ssXXX", "timeZone": "UTC"}
+    return identified_responses.select("scan_id", F.to_json(F.struct(*fields), options).alias("response"))

@@ -1,7 +1,7 @@
 """Batch-hard triplet loss over a labelled batch of vectors.
 
-Every vector meets every other of its batch.  Rows are dealt to ``chunks`` by a hash; a
-chunk's rows are queries in the tiles (chunk, j) and mates in the tiles (i, chunk), each
+Every vector meets every other of its batch.  Rows are dealt by a hash to chunks of about CHUNK_ROWS, so a
+tile's size does not grow with the batch; a chunk's rows are queries in the tiles (chunk, j) and mates in the tiles (i, chunk), each
 tile is one matrix product in numpy, and only each query's hardest distances leave it.
 """
 
@@ -12,9 +12,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Vectors of a chunk: a tile holds two chunks and their distances, block by block.
+CHUNK_ROWS = 1024
 
-def hardest(vectors: DataFrame, id_col: str, vector_col: str, label_col: str, chunks: int = 4) -> DataFrame:
+
+def hardest(vectors: DataFrame, id_col: str, vector_col: str, label_col: str, chunks: int | None = None) -> DataFrame:
     """id, positive (largest distance to another of its label), negative (smallest to another label); null without any."""
+    chunks = chunks or max(1, -(-vectors.count() // CHUNK_ROWS))
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label")).where("v is not null and label is not null")
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
     all_chunks = F.sequence(F.lit(0), F.lit(chunks - 1))

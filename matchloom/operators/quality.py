@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Gates.
@@ -16,17 +16,50 @@ def accuracy(results: DataFrame, by: list[str] | None = None) -> DataFrame:
     of ambiguous positives, those with it among three; false_confident: of all results,
     wrong matches; rejection: of negatives, those unrecognised.  Null without a denominator.
     """
+    return results.groupBy(*(by or [])).agg(*_accuracy_metrics())
+
+
+def _accuracy_metrics() -> list[Column]:
     positive, negative = F.col("expected").isNotNull(), F.col("expected").isNull()
     right = F.coalesce(F.col("top_card_id") == F.col("expected"), F.lit(False))
     mean = lambda x, where: F.avg(F.when(where, x.cast("double")))
-    metrics = [
+    return [
         F.count("*").alias("n"),
         mean(right, positive & (F.col("status") != "unrecognized")).alias("top1"),
         mean(F.coalesce(F.array_contains("top3", F.col("expected")), F.lit(False)), positive & (F.col("status") == "ambiguous")).alias("top3_recall"),
         F.avg(((F.col("status") == "matched") & ~right).cast("double")).alias("false_confident"),
         mean(F.col("status") == "unrecognized", negative).alias("rejection"),
     ]
-    return results.groupBy(*(by or [])).agg(*metrics)
+
+
+def slice_report(results: DataFrame, dimensions: list[str], crossed: list[tuple[str, ...]] | None = None) -> DataFrame:
+    """Metrics of all results, of every value of every dimension and of every combination in ``crossed``, in one pass.
+
+    Rows: grouping_id, dimension (names, + between; null for all), the dimensions' values as strings, the metrics
+    of ``accuracy``, deficit (top1 of all less that of the slice) and slice_ok (at most MAX_SLICE_DEFICIT).
+    A slice without recognised positives has no top1 and passes; a null value of a dimension is a slice of its own.
+    """
+    named = results.select(*[c for c in results.columns if c not in dimensions], *[F.col(d).cast("string").alias(d) for d in dimensions])
+    sets = [[], *[[F.col(d)] for d in dimensions], *[[F.col(d) for d in ds] for ds in crossed or ()]]
+    grouped = named.groupingSets(sets, *[F.col(d) for d in dimensions]).agg(F.grouping_id().alias("grouping_id"), *[F.grouping(d).alias(f"_{d}") for d in dimensions], *_accuracy_metrics())
+    dimension = F.concat_ws("+", *[F.when(F.col(f"_{d}") == 0, F.lit(d)) for d in dimensions])
+    # One row for each slice: a few, whatever the number of results.
+    overall = F.max(F.when(F.col("grouping_id") == (1 << len(dimensions)) - 1, F.col("top1"))).over(Window.partitionBy())
+    out = grouped.withColumns({"dimension": F.nullif(dimension, F.lit("")), "deficit": overall - F.col("top1")}).drop(*[f"_{d}" for d in dimensions])
+    return out.withColumn("slice_ok", F.coalesce(F.col("deficit") <= MAX_SLICE_DEFICIT, F.lit(True)))
+
+
+STATUSES = ("matched", "ambiguous", "unrecognized")
+
+
+def confusion_matrix(results: DataFrame) -> DataFrame:
+    """Truth by status with totals (O10): rows positive_right, positive_wrong (no or another first card), negative and total."""
+    right = F.coalesce(F.col("top_card_id") == F.col("expected"), F.lit(False))
+    truth = F.when(F.col("expected").isNull(), "negative").when(right, "positive_right").otherwise("positive_wrong")
+    counted = results.select(truth.alias("truth"), "status").groupBy("truth").pivot("status", list(STATUSES)).agg(F.count(F.lit(1))).na.fill(0)
+    summed = counted.withColumn("total", sum((F.col(s) for s in STATUSES), F.lit(0).cast("long")))
+    totals = summed.agg(F.lit("total").alias("truth"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*STATUSES, "total")])
+    return summed.unionByName(totals)
 
 
 def latency(log: DataFrame, by: list[str], ms: str = "ms") -> DataFrame:

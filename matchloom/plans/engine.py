@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from matchloom.functions.text import normalize_name, normalize_number
 from matchloom.operators import blocking, decision, enrichment, evidence
 from matchloom.plans.options import Options
+from matchloom.sources.scratch import scratch
 
 
 class Reader(Protocol):
@@ -44,9 +45,14 @@ def read_keys(scans: DataFrame) -> DataFrame:
     return scans.withColumn("obs_name", normalize_name(F.col("raw_name"))).withColumn("obs_number", normalize_number(F.col("raw_number")))
 
 
-def cached(df: DataFrame) -> DataFrame:
-    """df, made once however often it is used; what a lost executor held is made again."""
-    return df.persist()
+def written(df: DataFrame) -> DataFrame:
+    """df, made once however often it is used: written to the shared folder and read from there.
+
+    Nothing stays in the session's cache, and what executors hold may be lost.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, "kept")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @dataclass(frozen=True)
@@ -54,9 +60,7 @@ class Engine:
     """Stages of a recognition; any may be replaced.
 
     ``keep`` holds on to the two frames that a plan reads several times: scans with their keys, whose
-    Unicode forms come from Python, and ranked candidates.  Callers that run many plans in one session
-    free them with ``spark.catalog.clearCache()`` or pass a ``keep`` of their own (such as a write
-    to a shared folder, or the identity).
+    Unicode forms come from Python, and ranked candidates.  It may be the identity, which makes them anew each time.
     """
 
     options: Options = field(default_factory=Options)
@@ -64,15 +68,15 @@ class Engine:
     blocker: Blocker = blocking.block
     scorer: Scorer = evidence.gather
     pricer: Pricer = enrichment.with_prices
-    keep: Callable[[DataFrame], DataFrame] = cached
+    keep: Callable[[DataFrame], DataFrame] = written
 
     def read(self, scans: DataFrame) -> DataFrame:
-        """Raw scans with their keys, read once."""
-        return self.keep(self.reader(scans))
+        """Raw scans with their keys."""
+        return self.reader(scans)
 
     def ranked(self, scans: DataFrame, catalog: DataFrame) -> DataFrame:
         """Candidates of raw scans with scores, rank and runner_up."""
-        read = self.read(scans)
+        read = self.keep(self.read(scans))
         candidates = self.blocker(read, catalog, self.options.candidate_limit)
         return self.keep(decision.rank(self.scorer(candidates, read, catalog)))
 

@@ -29,6 +29,8 @@ class Weights:
 
 @dataclass(frozen=True)
 class Options:
+    """Limits, whose defaults are fixed values that results depend on, and the policy."""
+
     candidate_limit: int = 8
     priced_limit: int = 3
     max_upload_bytes: int = 12 * 1024 * 1024

@@ -2,35 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.functions import display, geometry, text, vectors
 from matchloom.operators import admission, blocking, catalog, ctc, decision, enrichment, evidence, metric, quality, uploads
 from matchloom.plans import fixtures as fx
-from matchloom.plans.engine import Engine
+from matchloom.plans.engine import Engine, written
 from matchloom.plans.options import Options
+from matchloom.registry import QUERIES, SQL, query
+from matchloom.sources.scratch import scratch
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
 AS_OF = "2024-02-01 00:00:00"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _read(spark: SparkSession, sf_dir: str) -> tuple[fx.Fixture, DataFrame]:
     f = fx.cards(spark, sf_dir)
     return f, Engine().read(f.scans)
@@ -84,7 +69,7 @@ def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {fx.BLOCK_SQL} SELECT scan_id, card_id, CAST(retrieval_rank AS INTEGER) AS retrieval_rank FROM blocked")
 def block_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     f, read = _read(spark, sf_dir)
-    return blocking.block(read, f.catalog, Options().candidate_limit)
+    return blocking.block(written(read.drop("embedding")), f.catalog, Options().candidate_limit)
 
 
 _EVIDENCE = "scan_id, card_id, number_score, round(name_score, 6) AS name_score, round(artwork_score, 6) AS artwork_score, confidence"
@@ -93,6 +78,7 @@ _EVIDENCE = "scan_id, card_id, number_score, round(name_score, 6) AS name_score,
 @query(f"WITH {fx.SCORE_SQL} SELECT {_EVIDENCE} FROM scored")
 def score_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     f, read = _read(spark, sf_dir)
+    read = written(read)
     scored = evidence.gather(blocking.block(read, f.catalog), read, f.catalog)
     return scored.select("scan_id", "card_id", "number_score", F.round("name_score", 6).alias("name_score"), F.round("artwork_score", 6).alias("artwork_score"), "confidence")
 
@@ -122,18 +108,14 @@ def top3_priced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrichment.top_priced(Engine().ranked(f.scans, f.catalog), f.prices).select("scan_id", "rank", "card_id", "confidence", "amount", "currency")
 
 
-@query()
-def response_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fx.cards(spark, sf_dir)
-    return Engine().responses(f.scans, f.catalog, f.prices)
-
-
 @query(f"""WITH {fx.SCORE_SQL} SELECT a.scan_id, a.status, c.name AS card_name, p.amount AS card_amount, CAST(coalesce(len(a.top3), 0) AS INTEGER) AS n_candidates,
   coalesce(array_to_string(a.top3, ','), '') AS candidate_ids FROM answers a LEFT JOIN catalog c ON c.card_id = a.card_id LEFT JOIN prices p ON p.card_id = a.card_id""")
 def response_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nested response, flattened again."""
     ids = F.array_join(F.transform("candidates", lambda c: c["card"]["card_id"]), ",")
-    return response_nested(spark, sf_dir).select("scan_id", "status", F.col("card.name").alias("card_name"), F.col("card.price.amount").alias("card_amount"), F.size("candidates").alias("n_candidates"), ids.alias("candidate_ids"))
+    f = fx.cards(spark, sf_dir)
+    nested = Engine().responses(f.scans, f.catalog, f.prices)
+    return nested.select("scan_id", "status", F.col("card.name").alias("card_name"), F.col("card.price.amount").alias("card_amount"), F.size("candidates").alias("n_candidates"), ids.alias("candidate_ids"))
 
 
 @query(f"WITH {fx.CATALOG_SQL} SELECT c.card_id, c.name, c.set_name, c.collector_number, c.rarity, p.amount, coalesce(p.currency, 'USD') AS currency FROM catalog c LEFT JOIN prices p USING (card_id)")
@@ -246,25 +228,12 @@ def feedback_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a feedback table holds after an append."""
     from matchloom.sources import readers, writers
 
-    path = f"{_scratch(spark)}/feedback-{uuid.uuid4().hex}"
+    path = scratch(spark, "feedback")
     writers.create_tables(spark, path)
     writers.append_feedback(_feedback(spark, sf_dir).drop("event_id"), path, F.lit(AS_OF).cast("timestamp"))
     return readers.stored(spark, path, "recognition_feedback").select("recognition_id", "predicted_card_id", "is_correct")
 
 
-_SCRATCH: list[str] = []
-
-
-def _scratch(spark: SparkSession) -> str:
-    """The shared folder of the cluster, or one of this process where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared
-    if not _SCRATCH:
-        _SCRATCH.append(tempfile.mkdtemp(prefix="matchloom-"))
-    return f"file://{_SCRATCH[0]}"
-
-
 DAY_US = 86_400_000_000
 _ORDERED = "SELECT event_id, CAST(user_id AS VARCHAR) AS client, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events"
 
@@ -300,7 +269,7 @@ def admission_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = fx.tables(spark, sf_dir, "events")[0]
     stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
     requests = stream.select(F.col("event_id").alias("request_id"), F.col("user_id").alias("client"), F.col("ts").cast("timestamp").alias("ts"))
-    out = f"{_scratch(spark)}/admitted-{uuid.uuid4().hex}"
+    out = scratch(spark, "admitted")
     job = admit_stream(requests, 2, 86_400, "sliding").writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start()
     job.awaitTermination()
     return spark.read.schema("request_id long, client string, allowed boolean").parquet(out)
@@ -361,7 +330,7 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = Engine().ranked(f.scans, f.catalog)
     top3 = ranked.where("rank <= 3").groupBy("scan_id").agg(F.collect_list("card_id").alias("top3"))
     answers = decision.decide(f.scans, ranked).join(top3, "scan_id", "left").join(f.scans.select("scan_id", "expected", "k"), "scan_id")
-    return answers.select("scan_id", "status", "top_card_id", "confidence", "top3", F.when(F.col("k") != 30, F.col("expected")).alias("expected"), (F.col("k") % 4).alias("slice"))
+    return answers.select("scan_id", "status", "top_card_id", "confidence", "top3", F.when(F.col("k") != 30, F.col("expected")).alias("expected"), (F.col("k") % 4).alias("slice"), "k")
 
 
 _RESULTS_SQL = fx.SCORE_SQL + ", results AS (SELECT *, CASE WHEN k <> 30 THEN expected END AS truth, k % 4 AS slice, coalesce(top_card_id = CASE WHEN k <> 30 THEN expected END, false) AS good FROM answers)"
@@ -376,6 +345,26 @@ def accuracy_by_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("slice", "n", *[F.round(c, 6).alias(c) for c in ("top1", "top3_recall", "false_confident", "rejection")])
 
 
+_DIMENSIONS_SQL = _RESULTS_SQL + ", conditions AS (SELECT *, CAST(k % 4 AS VARCHAR) AS layout, CAST(k % 3 AS VARCHAR) AS light, CAST(k % 5 AS VARCHAR) AS sleeve FROM results)"
+
+
+@query(f"""WITH {_DIMENSIONS_SQL}, g AS (SELECT CAST(GROUPING_ID(layout, light, sleeve) AS BIGINT) AS grouping_id, layout, light, sleeve, {_METRICS} FROM conditions GROUP BY GROUPING SETS ((), (layout), (light), (sleeve), (layout, light)))
+SELECT grouping_id, CASE grouping_id WHEN 3 THEN 'layout' WHEN 5 THEN 'light' WHEN 6 THEN 'sleeve' WHEN 1 THEN 'layout+light' END AS dimension, layout, light, sleeve, n, top1, top3_recall, false_confident, rejection,
+  coalesce((SELECT top1 FROM g WHERE grouping_id = 7) - top1 <= 0.05::DOUBLE, true) AS slice_ok FROM g""")
+def accuracy_all_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics and the gate for every slice of three capture conditions, and of two of them together."""
+    conditions = _results(spark, sf_dir).withColumns({"layout": F.col("k") % 4, "light": F.col("k") % 3, "sleeve": F.col("k") % 5})
+    m = quality.slice_report(conditions, ["layout", "light", "sleeve"], [("layout", "light")])
+    return m.select("grouping_id", "dimension", "layout", "light", "sleeve", "n", *[F.round(c, 6).alias(c) for c in ("top1", "top3_recall", "false_confident", "rejection")], "slice_ok")
+
+
+@query(f"""WITH {_RESULTS_SQL}, t AS (SELECT CASE WHEN truth IS NULL THEN 'negative' WHEN good THEN 'positive_right' ELSE 'positive_wrong' END AS truth, status FROM results)
+SELECT coalesce(truth, 'total') AS truth, count(*) FILTER (status = 'matched') AS matched, count(*) FILTER (status = 'ambiguous') AS ambiguous, count(*) FILTER (status = 'unrecognized') AS unrecognized, count(*) AS total
+FROM t GROUP BY GROUPING SETS ((), (truth))""")
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.confusion_matrix(_results(spark, sf_dir))
+
+
 @query(f"WITH {_RESULTS_SQL} SELECT truth IS NOT NULL AS positive, status, good AS top1_right, count(*) AS n FROM results GROUP BY ALL")
 def confusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.confusion(_results(spark, sf_dir))
@@ -522,6 +511,66 @@ def contour_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quads(spark, sf_dir).select("l_orderkey", "l_linenumber", F.round(geometry.area(points), 3).alias("area"), geometry.is_convex(points).alias("convex"))
 
 
+@query(f"""WITH {_CORNERS_SQL}, d AS (SELECT *, (sqrt((tl.x-tr.x)**2 + (tl.y-tr.y)**2) + sqrt((bl.x-br.x)**2 + (bl.y-br.y)**2)) / 2 AS w, (sqrt((tl.x-bl.x)**2 + (tl.y-bl.y)**2) + sqrt((tr.x-br.x)**2 + (tr.y-br.y)**2)) / 2 AS h FROM c),
+t AS (SELECT *, list_transform(range(1, 5), lambda k: (p[k % 4 + 1].x - p[k].x) * (p[(k + 1) % 4 + 1].y - p[k % 4 + 1].y) - (p[k % 4 + 1].y - p[k].y) * (p[(k + 1) % 4 + 1].x - p[k % 4 + 1].x)) AS turns, abs(list_sum(list_transform(range(1, 5), lambda k: p[k].x * p[k % 4 + 1].y - p[k % 4 + 1].x * p[k].y))) / 2 AS area FROM d)
+SELECT l_orderkey, l_linenumber, (list_min(turns) >= 0 OR list_max(turns) <= 0) AND area >= 300 * 0.14::DOUBLE AND coalesce(least(w, h) / nullif(greatest(w, h), 0) BETWEEN 0.58::DOUBLE AND 0.82::DOUBLE, false) AS plausible FROM t""")
+def plausible_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quads that may be cards in pictures of 300 square units."""
+    return _quads(spark, sf_dir).select("l_orderkey", "l_linenumber", geometry.plausible(F.col("points"), F.lit(300.0)).alias("plausible"))
+
+
+# Closed contours of twelve points: the quads with two points on each side, put off it by little or much.
+_SIDES = [(k, (k + 1) % 4) for k in range(4)]
+_OFF = "(l_discount - 0.05) * 40"
+_ALONG = [(f"x{a} + (x{b} - x{a}) * {t}", f"y{a} + (y{b} - y{a}) * {t} {sign} {_OFF}" if t != "0.0" else f"y{a}") for a, b in _SIDES for t, sign in (("0.0", "+"), ("0.25", "+"), ("0.625", "-"))]
+_CONTOURS_SQL = f"""
+q AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS id, l_orderkey, l_linenumber, l_discount, {_QUAD} FROM lineitem),
+p AS (SELECT id, {", ".join(f"({x})::DOUBLE AS px{k}, ({y})::DOUBLE AS py{k}" for k, (x, y) in enumerate(_ALONG))} FROM q),
+pts AS ({" UNION ALL ".join(f"SELECT id, {k} AS i, px{k} AS x, py{k} AS y FROM p" for k in range(12))}),
+sides AS (SELECT id, 0.025::DOUBLE * sum(sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2)) AS eps FROM pts a JOIN pts b USING (id) WHERE b.i = (a.i + 1) % 12 GROUP BY id),
+one AS (SELECT id, arg_min(b.i, (-sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2), b.i)) AS i FROM pts a JOIN pts b USING (id) WHERE a.i = 0 GROUP BY id),
+two AS (SELECT id, arg_min(b.i, (-sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2), b.i)) AS i FROM one JOIN pts a USING (id, i) JOIN pts b USING (id) GROUP BY id),
+r AS (
+  SELECT id, list_sort(list_distinct([one.i, two.i])) AS kept, 0 AS step FROM one JOIN two USING (id)
+  UNION ALL
+  SELECT id, list_sort(list_concat(any_value(kept), list(i))) AS kept, any_value(step) + 1 FROM (
+    SELECT id, kept, step, before, arg_min(i, (-apart, (i - before + 12) % 12)) AS i FROM (
+      SELECT id, kept, step, before, i, sqrt((x - ax - t * dx) ** 2 + (y - ay - t * dy) ** 2) AS apart FROM (
+        SELECT id, kept, step, before, i, x, y, ax, ay, dx, dy, CASE WHEN dx * dx + dy * dy > 0 THEN greatest(0, least(1, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy))) ELSE 0 END AS t FROM (
+          SELECT g.id, g.kept, g.step, g.before, g.i, g.x, g.y, a.x AS ax, a.y AS ay, b.x - a.x AS dx, b.y - a.y AS dy FROM (
+            SELECT r.id, r.kept, r.step, pts.i, pts.x, pts.y, coalesce(list_max(list_filter(r.kept, lambda k: k < pts.i)), list_max(r.kept)) AS before, coalesce(list_min(list_filter(r.kept, lambda k: k > pts.i)), list_min(r.kept)) AS behind
+            FROM r JOIN pts USING (id) WHERE NOT list_contains(r.kept, pts.i)) g JOIN pts a ON a.id = g.id AND a.i = g.before JOIN pts b ON b.id = g.id AND b.i = g.behind)))
+    JOIN sides USING (id) WHERE apart > eps GROUP BY id, kept, step, before) GROUP BY id)
+"""
+
+
+def _contours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = fx.tables(spark, sf_dir, "lineitem")[0].selectExpr("l_orderkey", "l_linenumber", "l_discount", *[x.strip() for x in _QUAD.split(",")])
+    point = lambda x, y: F.struct(F.expr(x.replace("0.25", "0.25D").replace("0.625", "0.625D").replace("0.0", "0D")).cast("double").alias("x"), F.expr(y.replace("0.05", "0.05D").replace("0.25", "0.25D").replace("0.625", "0.625D")).cast("double").alias("y"))
+    return base.select("l_orderkey", "l_linenumber", F.array(*[point(x, y) for x, y in _ALONG]).alias("points"))
+
+
+@query(f"""WITH RECURSIVE {_CONTOURS_SQL} SELECT l_orderkey, l_linenumber, CAST(len(kept) AS INTEGER) AS corners, array_to_string(list_transform(kept, lambda k: CAST(k AS VARCHAR)), ',') AS kept FROM q JOIN (SELECT id, arg_max(kept, step) AS kept FROM r GROUP BY id) USING (id)""")
+def simplified_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners that closed contours keep, as places in them."""
+    found = _contours(spark, sf_dir).withColumn("corners", geometry.simplify(F.col("points")))
+    places = F.array_join(F.transform("corners", lambda c: (F.array_position("points", c) - 1).cast("string")), ",")
+    return found.select("l_orderkey", "l_linenumber", F.size("corners").alias("corners"), places.alias("kept"))
+
+
+@query(f"""WITH {_CORNERS_SQL}, e AS (SELECT l_orderkey, l_linenumber, tl, tr, br, bl, tr.x - br.x AS ux, bl.x - br.x AS vx, tl.x - tr.x + br.x - bl.x AS wx, tr.y - br.y AS uy, bl.y - br.y AS vy, tl.y - tr.y + br.y - bl.y AS wy FROM c),
+h AS (SELECT *, (wx * vy - vx * wy) / nullif(ux * vy - vx * uy, 0) AS g, (ux * wy - wx * uy) / nullif(ux * vy - vx * uy, 0) AS h FROM e),
+m AS (SELECT *, tr.x - tl.x + g * tr.x AS a, bl.x - tl.x + h * bl.x AS b, tl.x AS c, tr.y - tl.y + g * tr.y AS d, bl.y - tl.y + h * bl.y AS e, tl.y AS f, (tl.x + tr.x + br.x + bl.x) / 4 AS px, (tl.y + tr.y + br.y + bl.y) / 4 AS py FROM h),
+s AS (SELECT *, a * e - b * d + (d * h - e * g) * px + (b * g - a * h) * py AS w FROM m)
+SELECT l_orderkey, l_linenumber, round(743 * ((e - f * h) * px + (c * h - b) * py + b * f - c * e) / nullif(w, 0), 4) AS x, round(1038 * ((f * g - d) * px + (a - c * g) * py + c * d - a * f) / nullif(w, 0), 4) AS y FROM s""")
+def rectified_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the middle of each quad's corners lies once the quad is made a rectangle of 744 by 1039 points."""
+    c = _quads(spark, sf_dir).withColumn("c", geometry.ordered_corners(F.col("points")))
+    middle = lambda axis: (F.get("c", F.lit(0))[axis] + F.get("c", F.lit(1))[axis] + F.get("c", F.lit(2))[axis] + F.get("c", F.lit(3))[axis]) / 4
+    to = c.select("l_orderkey", "l_linenumber", geometry.mapped(geometry.homography(F.col("c"), F.lit(743.0), F.lit(1038.0)), middle("x"), middle("y")).alias("to"))
+    return to.select("l_orderkey", "l_linenumber", F.round("to.x", 4).alias("x"), F.round("to.y", 4).alias("y"))
+
+
 @query("""WITH g AS (SELECT vec_id, list_transform(embedding, lambda x: floor((x::DOUBLE + 1) * 127.5)) AS v FROM embeddings),
 p AS (SELECT vec_id, v, unnest(range(0, 64)) AS i FROM g),
 l AS (SELECT vec_id, v[CASE WHEN i % 8 = 0 THEN i + 1 ELSE i - 1 END + 1] + v[CASE WHEN i % 8 = 7 THEN i - 1 ELSE i + 1 END + 1]
@@ -599,6 +648,20 @@ def safe_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.tables(spark, sf_dir, "pages")[0].select("page_id", display.safe_path(given).alias("path"), display.without_slash(F.col("url")).alias("base"))
 
 
+_LOCAL_SQL = "regexp_replace(url, '^https?://[^/]+', '')"
+
+
+@query(f"""SELECT page_id, CASE page_id % 6 WHEN 0 THEN {_LOCAL_SQL} WHEN 1 THEN '/' WHEN 2 THEN '/' WHEN 3 THEN {_LOCAL_SQL} || '?q=/../x#..' WHEN 4 THEN '/dir/' ELSE '/' END AS path FROM pages""")
+def resolved_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Return paths with dot segments, backslashes and a reserved path, some of them hidden."""
+    k, local = F.col("page_id") % 6, F.regexp_replace("url", "^https?://[^/]+", "")
+    given = (
+        F.when(k == 0, F.concat(F.lit("/x/.."), local)).when(k == 1, F.concat(F.lit("/\\host.invalid"), local)).when(k == 2, F.lit("/a/%2E%2e/./callback"))
+        .when(k == 3, F.concat(F.lit("/a/./b/../.%2e"), local, F.lit("?q=/../x#.."))).when(k == 4, F.lit("/../dir/sub/..")).otherwise(F.concat(F.lit("/\t"), local))
+    )
+    return fx.tables(spark, sf_dir, "pages")[0].select("page_id", display.safe_path(given, ("/callback",)).alias("path"))
+
+
 @query("SELECT n_nationkey, url_encode(n_name || ' & co') AS encoded, n_name || ' & co' AS decoded, CASE WHEN n_nationkey % 5 = 0 THEN NULL WHEN n_nationkey % 5 = 1 THEN 'a@x.invalid' ELSE n_name || ' & co' END AS shown, rpad(n_name, 80, '-') AS request_id FROM nation")
 def percent_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("n_nationkey") % 5
@@ -614,3 +677,5 @@ def cache_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.when(F.col("event_id") % 2 == 0, "/cards").otherwise("/api/v1/cards")
     return fx.tables(spark, sf_dir, "events")[0].select("event_id", display.cacheable(method, path).alias("cacheable"))
 
+
+from matchloom import store_queries  # noqa: E402, F401  registers its own

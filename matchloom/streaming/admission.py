@@ -1,6 +1,6 @@
-"""Admission over a stream of requests: the folds of the batch operator with kept state.
+"""Admission over a stream of requests: the folds of the batch operator with kept state.
 
-State is at most ``limit`` admitted times (sliding) or one window (fixed) per client.  A
+State is at most ``limit`` admitted times (sliding), one window (fixed) or both (failover) per client.  A
 client's requests are taken in time order within a micro-batch; a request that arrives
 in a later batch than a newer one is judged at the state it meets.  With a watermark,
 requests that are later than it are dropped and a client's state goes once the watermark
@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from matchloom.operators.admission import UNKNOWN_CLIENT, FixedWindow, SlidingLog
+from matchloom.operators.admission import UNKNOWN_CLIENT, Failover, FixedWindow, SlidingLog
+
+NEVER = -(1 << 62)
 
 
 def admit_stream(requests: DataFrame, limit: int = 30, window_seconds: float = 60.0, mode: str = "sliding", delay: str = "1 day") -> DataFrame:
-    """A stream of (request_id, client, ts) to (request_id, client, allowed)."""
+    """A stream of (request_id, client, ts, and down for mode failover) to (request_id, client, allowed)."""
     window = int(window_seconds * 1_000_000)
 
     def fold(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -31,14 +33,22 @@ def admit_stream(requests: DataFrame, limit: int = 30, window_seconds: float = 6
         rows = pd.concat(list(batches)).sort_values(["at", "request_id"])
         if mode == "sliding":
             gate = SlidingLog(limit, window, kept)
-        else:
+        elif mode == "fixed":
             gate = FixedWindow(limit, window, *(kept or (None, 0)))
-        allowed = [gate.allow(t) for t in rows["at"].tolist()]
-        state.update((list(gate.admitted) if isinstance(gate, SlidingLog) else [gate.opened, gate.count],))
+        else:
+            gate = Failover(limit, window, *(kept[:2] or (None, 0)), kept[2:])
+        if isinstance(gate, Failover):
+            allowed = [gate.allow(t, off) for t, off in zip(rows["at"].tolist(), rows["down"].tolist(), strict=True)]
+            # A window that no request has opened is kept as one that is long over.
+            state.update(([NEVER if gate.shared.opened is None else gate.shared.opened, gate.shared.count, *gate.local.admitted],))
+        else:
+            allowed = [gate.allow(t) for t in rows["at"].tolist()]
+            state.update((list(gate.admitted) if isinstance(gate, SlidingLog) else [gate.opened, gate.count],))
         state.setTimeoutTimestamp(int(rows["at"].max() // 1000) + int(window_seconds * 1000) + 1)
         yield pd.DataFrame({"request_id": rows["request_id"], "client": key[0], "allowed": allowed})
 
     timed = requests.withWatermark("ts", delay).select(
-        F.col("request_id").cast("long").alias("request_id"), F.coalesce(F.col("client").cast("string"), F.lit(UNKNOWN_CLIENT)).alias("client"), "ts", F.unix_micros("ts").alias("at")
+        F.col("request_id").cast("long").alias("request_id"), F.coalesce(F.col("client").cast("string"), F.lit(UNKNOWN_CLIENT)).alias("client"), "ts", F.unix_micros("ts").alias("at"),
+        (F.coalesce(F.col("down"), F.lit(False)) if mode == "failover" else F.lit(False)).alias("down"),
     )
     return timed.groupBy("client").applyInPandasWithState(fold, "request_id long, client string, allowed boolean", "kept array<long>", "append", GroupStateTimeout.EventTimeTimeout)

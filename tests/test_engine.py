@@ -139,7 +139,7 @@ def record(k, **more):
 def test_catalog_import(spark, tmp_path):
     path, as_of = str(tmp_path / "db"), F.lit("2024-05-01 00:00:00").cast("timestamp")
     writers.create_tables(spark, path)
-    first = [record("a", price={"amount": 1.0}), record("b", visual_embedding=[1.0, 2.0]), record("a", name="again", language=None)]
+    first = [record("a", price={"amount": 1.0}), record("b", visual_embedding=[1.0, 2.0]), record("a", name="again")]
     (tmp_path / "one.json").write_text(json.dumps(first))
     writers.import_catalog(readers.catalog_json(spark, str(tmp_path / "one.json")), path, as_of)
     cards = {r.card_id: r for r in readers.stored(spark, path, "cards").collect()}

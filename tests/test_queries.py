@@ -43,3 +43,11 @@ def test_all_branches_are_reached(spark):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_nothing_stays_cached(spark):
+    """Queries leave nothing behind in the session that a later one could read."""
+    for name in ("recognize_cards", "response_flat", "accuracy_by_slice"):
+        QUERIES[name](spark, SF).count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+    assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
