@@ -42,11 +42,11 @@ def _statement(most: int, buckets: int) -> str:
     """SQL from texts (r, text) to (r, n_words, bucket list, count list)."""
     grams = ["SELECT r, word AS gram FROM words"]
     for n in range(2, most + 1):
-        following = " || ' ' || ".join(["word", *(f"lead(word, {k}) OVER (PARTITION BY r ORDER BY at)" for k in range(1, n))])
+        following = " || ' ' || ".join(["word", *(f"lead(word, {k}) OVER (PARTITION BY r ORDER BY place)" for k in range(1, n))])
         grams.append(f"SELECT r, {following} AS gram FROM words")
     return f"""
     WITH split AS (SELECT r, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{WORD}') AS ws FROM texts),
-    words AS (SELECT r, unnest(ws) AS word, unnest(range(len(ws))) AS at FROM split),
+    words AS (SELECT r, unnest(ws) AS word, unnest(range(len(ws))) AS place FROM split),
     grams AS ({" UNION ALL ".join(grams)}),
     counted AS (SELECT r, gram, count(*) AS n FROM grams WHERE gram IS NOT NULL GROUP BY ALL),
     hashed AS (SELECT gram, crc32_of(gram) % {buckets} AS bucket FROM (SELECT DISTINCT gram FROM counted)),
