@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.functions.vectors import bound
+
 # The limits that results depend on.
 MIN_AREA_SHARE = 0.14
 SIDE_RATIO = (0.58, 0.82)
@@ -134,30 +136,41 @@ def simplify(points: Column, share: float = SIMPLIFY_SHARE) -> Column:
     return run(points.cast(_CONTOUR))
 
 
-def homography(corners: Column, width: Column, height: Column) -> Column:
-    """The projective map from ordered corners to the rectangle from (0, 0) to (width, height), as nine numbers row by row (M5).
+def _adjugate(m: list[Column]) -> list[Column]:
+    """Of a matrix of three rows, all nine numbers; the inverse but for a factor."""
+    a, b, c, d, e, f, g, h, i = m
+    return [e * i - f * h, c * h - b * i, b * f - c * e, f * g - d * i, a * i - c * g, c * d - a * f, d * h - e * g, b * g - a * h, a * e - b * d]
+
+
+def _scaled(numbers: list[Column]) -> Column:
+    """Nine numbers with 1 as the last; null where that is 0."""
+    return F.when(numbers[8] != 0, F.array(*[F.try_divide(x, numbers[8]) for x in numbers]))
+
+
+def with_homography(df: DataFrame, corners: str, width: float, height: float, name: str = "homography") -> DataFrame:
+    """df with the projective map from ordered corners to the rectangle from (0, 0) to (width, height), as nine numbers row by row (M5).
 
     Closed form: the map from the unit square to the corners has its perspective terms from two cross products; its
     adjugate maps back, and the rectangle scales it.  The last number is 1.  Null where three corners lie on a line.
+    Steps are columns of their own, so that each is made once and in generated code.
     """
-    p = [F.get(corners, F.lit(k)) for k in range(4)]
-    (x0, y0), (x1, y1), (x2, y2), (x3, y3) = [(q["x"], q["y"]) for q in p]
+    at = [f"_{axis}{k}" for k in range(4) for axis in "xy"]
+    out = df.withColumns({f"_{axis}{k}": F.get(corners, F.lit(k))[axis] for k in range(4) for axis in "xy"})
+    x0, y0, x1, y1, x2, y2, x3, y3 = (F.col(c) for c in at)
     dx1, dx2, dx3 = x1 - x2, x3 - x2, x0 - x1 + x2 - x3
     dy1, dy2, dy3 = y1 - y2, y3 - y2, y0 - y1 + y2 - y3
     cross = dx1 * dy2 - dx2 * dy1
-    g, h = F.try_divide(dx3 * dy2 - dx2 * dy3, cross), F.try_divide(dx1 * dy3 - dx3 * dy1, cross)
-    a, b, c = x1 - x0 + g * x1, x3 - x0 + h * x3, x0
-    d, e, f = y1 - y0 + g * y1, y3 - y0 + h * y3, y0
-    back = [e - f * h, c * h - b, b * f - c * e, f * g - d, a - c * g, c * d - a * f, d * h - e * g, b * g - a * h, a * e - b * d]
-    scaled = [x * width for x in back[:3]] + [x * height for x in back[3:6]] + back[6:]
-    return F.when(scaled[8] != 0, F.array(*[F.try_divide(x, scaled[8]) for x in scaled]))
+    out = out.withColumns({"_g": F.try_divide(dx3 * dy2 - dx2 * dy3, cross), "_h": F.try_divide(dx1 * dy3 - dx3 * dy1, cross)})
+    g, h = F.col("_g"), F.col("_h")
+    out = out.withColumns({"_a": x1 - x0 + g * x1, "_b": x3 - x0 + h * x3, "_d": y1 - y0 + g * y1, "_e": y3 - y0 + h * y3})
+    back = _adjugate([F.col("_a"), F.col("_b"), x0, F.col("_d"), F.col("_e"), y0, g, h, F.lit(1.0)])
+    numbers = [x * width for x in back[:3]] + [x * height for x in back[3:6]] + back[6:]
+    return out.withColumn(name, _scaled(numbers)).drop(*at, "_g", "_h", "_a", "_b", "_d", "_e")
 
 
 def inverse(matrix: Column) -> Column:
     """The inverse of a map of nine numbers, with 1 as its last; null where it has none."""
-    a, b, c, d, e, f, g, h, i = (F.get(matrix, F.lit(k)) for k in range(9))
-    back = [e * i - f * h, c * h - b * i, b * f - c * e, f * g - d * i, a * i - c * g, c * d - a * f, d * h - e * g, b * g - a * h, a * e - b * d]
-    return F.when(back[8] != 0, F.array(*[F.try_divide(x, back[8]) for x in back]))
+    return _scaled(_adjugate([F.get(matrix, F.lit(k)) for k in range(9)]))
 
 
 def mapped(matrix: Column, x: Column, y: Column) -> Column:
@@ -177,9 +190,9 @@ def is_convex(points: Column) -> Column:
     return (F.least(*turns) >= 0) | (F.greatest(*turns) <= 0)
 
 
-def plausible(points: Column, image_area: Column) -> Column:
-    """Whether a contour may be a card: large enough, four corners, convex, card-like sides (C11)."""
-    ratio = side_ratio(ordered_corners(points))
+def plausible(points: Column, image_area: Column, corners: Column | None = None) -> Column:
+    """Whether a contour may be a card: large enough, four corners, convex, card-like sides (C11).  ``corners`` are its ordered corners, where a column has them."""
+    ratio = bound(ordered_corners(points), side_ratio) if corners is None else side_ratio(corners)
     good = (area(points) >= image_area * MIN_AREA_SHARE) & is_convex(points) & ratio.between(*SIDE_RATIO)
     return F.when(F.size(points) == 4, F.coalesce(good, F.lit(False))).otherwise(F.lit(False))
 
@@ -209,7 +222,9 @@ def laplacian_variance(pixels: Column, width: int) -> Column:
         up, down = F.when(i < w, i + w).otherwise(i - w), F.when(i >= n - w, i - w).otherwise(i + w)
         return at(left) + at(right) + at(up) + at(down) - at(i) * 4
 
-    responses = F.transform(F.sequence(F.lit(0), n - 1), response)
     mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda total, x: total + x) / n
-    centred = F.transform(responses, lambda x: x - mean(responses))
-    return F.when((n >= 2 * w) & (w >= 2) & (n % w == 0), mean(F.transform(centred, lambda x: x * x)))
+
+    def variance(responses: Column) -> Column:
+        return bound(mean(responses), lambda m: mean(F.transform(responses, lambda x: (x - m) * (x - m))))
+
+    return F.when((n >= 2 * w) & (w >= 2) & (n % w == 0), bound(F.transform(F.sequence(F.lit(0), n - 1), response), variance))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -34,6 +34,14 @@ def _beyond_ascii(x: Column) -> Column:
     return F.when(x.rlike(r"[^\x00-\x7F]"), x)
 
 
+def all_ascii(df: DataFrame, *columns: str) -> bool:
+    """Whether no value of the columns has a character beyond ASCII: a look at these columns alone, which ends at the first that has."""
+    odd = F.lit(False)
+    for c in columns:
+        odd = odd | F.coalesce(F.col(c).rlike(r"[^\x00-\x7F]"), F.lit(False))
+    return df.select(*columns).where(odd).isEmpty()
+
+
 def nfkc(x: Column) -> Column:
     """Unicode NFKC form."""
     return F.coalesce(_nfkc(_beyond_ascii(x)), x)
@@ -49,22 +57,26 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
-def normalize_name(raw: Column) -> Column:
-    """Comparable form of an observed name (I8); null where nothing is left."""
-    x = F.translate(strip(nfkc(raw)), "0", "O")
+def normalize_name(raw: Column, ascii_only: bool = False) -> Column:
+    """Comparable form of an observed name (I8); null where nothing is left.
+
+    ``ascii_only`` promises that no name is beyond ASCII, where lower case is all that the Unicode forms do.
+    """
+    x = F.translate(strip(raw if ascii_only else nfkc(raw)), "0", "O")
     x = F.regexp_replace(x, "(?U)" + NAME_NOISE, " ")
     for pattern, replacement in NAME_SUFFIXES:
         x = F.regexp_replace(x, "(?iU)" + pattern, replacement)
-    return F.nullif(casefold(strip(F.regexp_replace(x, r"(?U)\s+", " "))), F.lit(""))
+    x = strip(F.regexp_replace(x, r"(?U)\s+", " "))
+    return F.nullif(F.lower(x) if ascii_only else casefold(x), F.lit(""))
 
 
 def _without_zeros(x: Column) -> Column:
     return F.ltrim(x, F.lit("0"))
 
 
-def normalize_number(raw: Column) -> Column:
+def normalize_number(raw: Column, ascii_only: bool = False) -> Column:
     """Comparable form of a collector number (I9): the first number's own part, no leading zeros; null without one."""
-    found = F.nullif(F.regexp_extract(F.upper(nfkc(raw)), NUMBER_PATTERN, 1), F.lit(""))
+    found = F.nullif(F.regexp_extract(F.upper(raw if ascii_only else nfkc(raw)), NUMBER_PATTERN, 1), F.lit(""))
     return F.when(found.isNotNull(), F.coalesce(F.nullif(_without_zeros(found), F.lit("")), F.lit("0")))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.functions.text import clamp, collector_similarity, name_similarity
-from matchloom.functions.vectors import cosine_score, doubles
+from matchloom.functions.vectors import cosine_score, doubles, norm
 from matchloom.plans.options import Weights
 
 
@@ -25,8 +25,10 @@ def gather(candidates: DataFrame, scans: DataFrame, catalog: DataFrame, weights:
 
     Vectors are joined after blocking, so only bounded candidates carry them.
     """
-    seen = scans.select("scan_id", "obs_name", "obs_number", "ocr_quality", doubles(F.col("embedding")).alias("scan_vec"))
-    cards = catalog.select("card_id", "normalized_name", "collector_number", doubles(F.col("embedding")).alias("card_vec"))
+    vector = doubles(F.col("embedding"))
+    # Lengths are made once for each vector and not for each pair.
+    seen = scans.select("scan_id", "obs_name", "obs_number", "ocr_quality", vector.alias("scan_vec"), norm(vector).alias("scan_norm"))
+    cards = catalog.select("card_id", "normalized_name", "collector_number", vector.alias("card_vec"), norm(vector).alias("card_norm"))
     joined = candidates.join(seen, "scan_id").join(cards, "card_id")
     scored = joined.select(
         "scan_id",
@@ -34,7 +36,7 @@ def gather(candidates: DataFrame, scans: DataFrame, catalog: DataFrame, weights:
         "retrieval_rank",
         collector_similarity(F.col("obs_number"), F.col("collector_number")).alias("number_score"),
         name_similarity(F.col("obs_name"), F.col("normalized_name")).alias("name_score"),
-        cosine_score(F.col("scan_vec"), F.col("card_vec")).alias("artwork_score"),
+        cosine_score(F.col("scan_vec"), F.col("card_vec"), F.col("scan_norm") * F.col("card_norm")).alias("artwork_score"),
         "ocr_quality",
     )
     return scored.withColumn("confidence", score(F.col("number_score"), F.col("name_score"), F.col("artwork_score"), F.col("ocr_quality"), weights or Weights()))

@@ -7,8 +7,9 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from matchloom.functions.text import normalize_name, normalize_number
+from matchloom.functions.text import all_ascii, normalize_name, normalize_number
 from matchloom.operators import blocking, decision, enrichment, evidence
 from matchloom.plans.options import Options
 from matchloom.sources.scratch import scratch
@@ -39,10 +40,9 @@ class Pricer(Protocol):
 
 
 def read_keys(scans: DataFrame) -> DataFrame:
-    """Comparable keys from observed texts."""
-    from pyspark.sql import functions as F
-
-    return scans.withColumn("obs_name", normalize_name(F.col("raw_name"))).withColumn("obs_number", normalize_number(F.col("raw_number")))
+    """Comparable keys from observed texts; Python takes part only where some text is beyond ASCII."""
+    plain = all_ascii(scans, "raw_name", "raw_number")
+    return scans.withColumn("obs_name", normalize_name(F.col("raw_name"), plain)).withColumn("obs_number", normalize_number(F.col("raw_number"), plain))
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -516,7 +516,8 @@ t AS (SELECT *, list_transform(range(1, 5), lambda k: (p[k % 4 + 1].x - p[k].x)
 SELECT l_orderkey, l_linenumber, (list_min(turns) >= 0 OR list_max(turns) <= 0) AND area >= 300 * 0.14::DOUBLE AND coalesce(least(w, h) / nullif(greatest(w, h), 0) BETWEEN 0.58::DOUBLE AND 0.82::DOUBLE, false) AS plausible FROM t""")
 def plausible_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quads that may be cards in pictures of 300 square units."""
-    return _quads(spark, sf_dir).select("l_orderkey", "l_linenumber", geometry.plausible(F.col("points"), F.lit(300.0)).alias("plausible"))
+    quads = _quads(spark, sf_dir).withColumn("c", geometry.ordered_corners(F.col("points")))
+    return quads.select("l_orderkey", "l_linenumber", geometry.plausible(F.col("points"), F.lit(300.0), F.col("c")).alias("plausible"))
 
 
 # Closed contours of twelve points: the quads with two points on each side, put off it by little or much.
@@ -565,9 +566,9 @@ s AS (SELECT *, a * e - b * d + (d * h - e * g) * px + (b * g - a * h) * py AS w
 SELECT l_orderkey, l_linenumber, round(743 * ((e - f * h) * px + (c * h - b) * py + b * f - c * e) / nullif(w, 0), 4) AS x, round(1038 * ((f * g - d) * px + (a - c * g) * py + c * d - a * f) / nullif(w, 0), 4) AS y FROM s""")
 def rectified_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the middle of each quad's corners lies once the quad is made a rectangle of 744 by 1039 points."""
-    c = _quads(spark, sf_dir).withColumn("c", geometry.ordered_corners(F.col("points")))
+    c = geometry.with_homography(_quads(spark, sf_dir).withColumn("c", geometry.ordered_corners(F.col("points"))), "c", 743.0, 1038.0, "m")
     middle = lambda axis: (F.get("c", F.lit(0))[axis] + F.get("c", F.lit(1))[axis] + F.get("c", F.lit(2))[axis] + F.get("c", F.lit(3))[axis]) / 4
-    to = c.select("l_orderkey", "l_linenumber", geometry.mapped(geometry.homography(F.col("c"), F.lit(743.0), F.lit(1038.0)), middle("x"), middle("y")).alias("to"))
+    to = c.select("l_orderkey", "l_linenumber", geometry.mapped(F.col("m"), middle("x"), middle("y")).alias("to"))
     return to.select("l_orderkey", "l_linenumber", F.round("to.x", 4).alias("x"), F.round("to.y", 4).alias("y"))
 
 

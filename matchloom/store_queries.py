@@ -110,9 +110,9 @@ def price_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     apply_prices(f.prices, path, "cache", 0)
     at = F.col("l_shipdate").cast("timestamp") + F.make_ym_interval(F.lit(25)) + F.make_dt_interval(secs=(F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("decimal(18,6)") / 1000)
     updates = fx.tables(spark, sf_dir, "lineitem")[0].select(F.col("l_partkey").cast("string").alias("card_id"), F.col("l_extendedprice").alias("amount"), F.lit(None).cast("string").alias("currency"), F.lit("feed").alias("source"), at.alias("updated_at"))
-    updates.repartition(4, "amount").write.parquet(feed)
-    stream = spark.readStream.schema(updates.schema).option("maxFilesPerTrigger", 1).parquet(feed)
-    refresh_prices(stream, path, f"{path}-state", buckets=8).awaitTermination()
+    for part in range(4):
+        updates.where(F.pmod(F.xxhash64("amount"), F.lit(4)) == part).write.mode("append").parquet(feed)
+        refresh_prices(spark.readStream.schema(updates.schema).parquet(feed), path, f"{path}-state", buckets=8).awaitTermination()
     apply_prices(updates.limit(0), path, "prices", 0)  # an epoch of before: passed over
     return readers.stored(spark, path, "card_prices").select("card_id", "amount", "source", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
 
@@ -179,14 +179,14 @@ def admission_failover_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as a stream; outages are a static side that few rows make up."""
     requests, outages = _requests(spark, sf_dir)
     source, out = scratch(spark, "requests"), scratch(spark, "admitted")
-    # Files one after another, so that micro-batches come in time order.
-    for part in range(3):
-        requests.where(F.least(F.floor((F.day("ts") - 1) / 10), F.lit(2)) == part).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(source)
     downs = F.broadcast(admission.merged_outages(outages))
-    marked = stream.join(downs, (stream["ts"] >= downs["began"]) & (stream["ts"] < downs["ended"]), "left").withColumn("down", F.col("began").isNotNull()).drop("began", "ended")
-    job = admit_stream(marked, 2, 86_400, "failover", "60 days").writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start()
-    job.awaitTermination()
+    for part in range(3):
+        # A third of the month arrives, then the stream takes it and stops: state goes on from where it was.
+        requests.where(F.least(F.floor((F.day("ts") - 1) / 10), F.lit(2)) == part).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(requests.schema).parquet(source)
+        marked = stream.join(downs, (stream["ts"] >= downs["began"]) & (stream["ts"] < downs["ended"]), "left").withColumn("down", F.col("began").isNotNull()).drop("began", "ended")
+        job = admit_stream(marked, 2, 86_400, "failover", "60 days").writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start()
+        job.awaitTermination()
     return spark.read.schema("request_id long, client string, allowed boolean").parquet(out)
 
 

@@ -406,7 +406,7 @@ def test_largest_of_contours_of_any_size(spark):
 def test_homography_takes_corners_to_the_rectangle_and_back(spark):
     rng = random.Random(7)
     quads = [[(rng.uniform(-50, 0), rng.uniform(-50, 0)), (rng.uniform(60, 300), rng.uniform(-50, 0)), (rng.uniform(60, 300), rng.uniform(60, 300)), (rng.uniform(-50, 0), rng.uniform(60, 300))] for _ in range(100)] + [[(0.0, 0.0), (743.0, 0.0), (743.0, 1038.0), (0.0, 1038.0)]]
-    df = spark.createDataFrame(list(enumerate(quads)), SHAPE).withColumn("m", geometry.homography(F.col("points"), F.lit(743.0), F.lit(1038.0))).withColumn("back", geometry.inverse(F.col("m")))
+    df = geometry.with_homography(spark.createDataFrame(list(enumerate(quads)), SHAPE), "points", 743.0, 1038.0, "m").withColumn("back", geometry.inverse(F.col("m")))
     target = [(0.0, 0.0), (743.0, 0.0), (743.0, 1038.0), (0.0, 1038.0)]
     there = F.transform("points", lambda p: geometry.mapped(F.col("m"), p["x"], p["y"]))
     again = F.transform(there, lambda p: geometry.mapped(F.col("back"), p["x"], p["y"]))
@@ -419,4 +419,4 @@ def test_homography_takes_corners_to_the_rectangle_and_back(spark):
             b += [u, v]
         assert np.allclose(r.m[:8], np.linalg.solve(np.array(a), np.array(b)), rtol=1e-6, atol=1e-9)
     flat = spark.createDataFrame([(1, [(0.0, 0.0), (1.0, 0.0), (2.0, 0.0), (0.0, 1.0)])], SHAPE)
-    assert flat.select(geometry.homography(F.col("points"), F.lit(1.0), F.lit(1.0)).alias("m")).first().m is None
+    assert geometry.with_homography(flat, "points", 1.0, 1.0).first().homography is None
