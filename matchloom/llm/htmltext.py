@@ -1,6 +1,8 @@
 """Operator 6: main text of web pages by a tree-structured graphical model.
 
-A page becomes a tree of its block elements; each text run belongs to the nearest one.
+A page becomes a tree of its block elements; each text run belongs to the nearest one.  All other
+elements are part of a line: their text is its text, but for controls, pictures, stand-ins of
+media and annotations of formulas, whose labels are no page text and do not cut the line.
 Every node is content or not.  Node potentials are the likelihoods of what can be seen of
 it (element with length of its own text and share of link text; words in class/id/role);
 parent-child potentials, one table for each kind of parent, couple it with its parent.
@@ -15,7 +17,8 @@ Blocks are trimmed, their white space becomes single spaces, character reference
 decoded, and blocks join by a newline in page order.
 
 Defined results: null or empty html gives an empty text; broken markup is read as far as
-it goes (missing end tags are implied, an unended script swallows the rest); repeated
+it goes (missing end tags are implied, an unended script swallows the rest, an unended control what
+is left of its block); repeated
 rows and extra columns do not matter; an empty table gives no rows.
 """
 
@@ -44,24 +47,26 @@ MARKUP = re.compile(
 #: Elements whose text is no page text; all others are nodes or inline, and the model decides.
 RAW_END = {x: re.compile(rf"</{x}\s*+>", re.IGNORECASE) for x in "script style template noscript textarea title".split()}
 RAW_START = re.compile(r"<(script|style|template|noscript|textarea|title)\b", re.IGNORECASE)
-INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
-    " math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle".split()
+#: Block elements of the HTML standard: nodes, which end the text before them.  All other elements, known or not, are part of the line they stand in.
+BLOCKS = frozenset(
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup html"
+    " legend li listing main menu nav ol p plaintext pre search section summary table tbody td tfoot th thead tr ul xmp".split()
 )
-#: Elements that stand inside a paragraph without ending it; controls, and what shows something else than its text.
-CONTROLS, FALLBACKS = frozenset("button select option optgroup meter progress output".split()), frozenset("svg canvas object iframe audio video".split())
-PHRASING = CONTROLS | FALLBACKS
+#: Elements that show something else than their text (a control, a picture, what stands in for a medium or repeats a formula): they stand in a
+#: line without ending it, and what is written in them is no page text.
+MUTED = frozenset("button select option optgroup datalist meter progress output svg canvas object iframe audio video annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An element that starts closes these open ones, up to the nearest of the second kind.
-CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "body": ("head", "html")}
+CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "body": ("head", "html")}
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
 KEYS = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 
-TAG_KINDS = ["nav", "header", "footer", "aside", "form", "article", "main", "p", "heading", "item", "list", "box", "cell", "table", "quote", "figure", "body", "html", "head", "hidden", "other"]
-TAG_KIND = {k: k for k in TAG_KINDS} | dict.fromkeys(["h1", "h2", "h3", "h4", "h5", "h6"], "heading") | dict.fromkeys(["li", "dt", "dd"], "item") | dict.fromkeys(["ul", "ol", "dl", "menu"], "list") | dict.fromkeys(["div", "section", "center", "address", "details", "summary"], "box") | dict.fromkeys(["td", "th", "caption"], "cell") | dict.fromkeys(["tr", "tbody", "thead", "tfoot", "table"], "table") | dict.fromkeys(["blockquote", "pre"], "quote") | dict.fromkeys(["figure", "figcaption"], "figure") | dict.fromkeys(["fieldset", "legend", "dialog", *sorted(CONTROLS)], "form") | dict.fromkeys(sorted(FALLBACKS), "hidden")
+TAG_KINDS = ["nav", "header", "footer", "aside", "form", "article", "main", "p", "heading", "item", "list", "box", "cell", "table", "quote", "figure", "body", "html", "head", "other"]
+TAG_KIND = {k: k for k in TAG_KINDS} | dict.fromkeys(["h1", "h2", "h3", "h4", "h5", "h6"], "heading") | dict.fromkeys(["li", "dt", "dd"], "item") | dict.fromkeys(["ul", "ol", "dl", "menu"], "list") | dict.fromkeys(["div", "section", "center", "address", "details", "summary"], "box") | dict.fromkeys(["td", "th", "caption"], "cell") | dict.fromkeys(["tr", "tbody", "thead", "tfoot", "table"], "table") | dict.fromkeys(["blockquote", "pre"], "quote") | dict.fromkeys(["figure", "figcaption"], "figure") | dict.fromkeys(["fieldset", "legend", "dialog"], "form")
 TAG_CODE = {k: TAG_KINDS.index(v) for k, v in TAG_KIND.items()}
-WORD_KINDS = ["none", "ad", "menu", "comment", "notice", "side", "footer", "header", "content", "form"]
-#: Words of class, id and role values, by kind; the first kind with a word in the value holds.
+WORD_KINDS = ["none", "ad", "menu", "comment", "notice", "side", "footer", "header", "content", "form", "mixed", "vague"]
+#: Words of class, id and role values, by kind; the first kind with a word in the value holds, "mixed" where
+#: content and another kind have one, and "vague" where the words of a kind stand only in names with other words that say something.
 KEY_WORDS = {
     "ad": "ad ads advert advertisement adverts adsense banner-ad sponsor sponsored promo promotion promoted",
     "comment": "comment comments reply replies disqus discussion respond",
@@ -73,7 +78,10 @@ KEY_WORDS = {
     "form": "form search login signup searchbox",
     "content": "content article post entry main body story text page prose",
 }
+#: Words that say nothing about what they name.
+FILLERS = frozenset("a all area articles bar block body bottom box boxes container element group grid header holder inner item items left link links list listing main news outer page panel posts products right row section site slot stories the top unit widgets wrap wrapper zone".split())
 KEY_KIND = {w: WORD_KINDS.index(k) for k, words in KEY_WORDS.items() for w in words.split()}
+CONTENT, MIXED, VAGUE = (WORD_KINDS.index(k) for k in ("content", "mixed", "vague"))
 KEY_ORDER = [WORD_KINDS.index(k) for k in KEY_WORDS]
 LENGTHS, SHARES = (1, 20, 60, 150, 400), (0.1, 0.4, 0.8)
 #: Number of codes of (element, length, share) and of key kinds.
@@ -82,12 +90,17 @@ SIZES = (len(TAG_KINDS) * (len(LENGTHS) + 1) * (len(SHARES) + 2), len(WORD_KINDS
 
 def key_kind(attrs: str) -> int:
     """Kind of an element by the words in its class, id and role."""
-    found = set()
+    found, clear = set(), False
     for m in KEYS.finditer(attrs):
-        for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()):
-            if w in KEY_KIND:
-                found.add(KEY_KIND[w])
-    return next((k for k in KEY_ORDER if k in found), 0)
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+            kinds = {KEY_KIND[w] for w in words if w in KEY_KIND}
+            found |= kinds
+            clear = clear or bool(kinds) and all(w in KEY_KIND or w in FILLERS or w.isdigit() for w in words)
+    if CONTENT in found and len(found) > 1:
+        return MIXED
+    kind = next((k for k in KEY_ORDER if k in found), 0)
+    return kind if clear or kind in (0, CONTENT) else VAGUE
 
 
 class Tree:
@@ -106,6 +119,7 @@ class Tree:
         self._opened: dict[str, int] = {}
         self._runs: list[str] = []
         self._in_link = False
+        self._muted: list[tuple[str, int]] = []  # open elements without page text, and the stack below them
         self._read(page)
 
     def _open(self, name: str, key: int) -> None:
@@ -129,6 +143,8 @@ class Tree:
         for node in self._stack[at:]:
             self._opened[self.names[node]] -= 1
         del self._stack[at:]
+        while self._muted and self._muted[-1][1] > at:
+            self._muted.pop()
 
     def _flush(self) -> None:
         if self._runs:
@@ -141,6 +157,8 @@ class Tree:
                 self.blocks.append((self._stack[-1], text))
 
     def _text(self, text: str) -> None:
+        if self._muted:
+            return
         self._runs.append(text)
         if self._stack:
             n = len(text) - text.count(" ")
@@ -168,9 +186,13 @@ class Tree:
                     at = own.end() if own else size
                 continue
             name = name.lower()
-            if name in INLINE:
-                if name == "a":
-                    self._in_link = not m["end"]
+            if name in MUTED:
+                if not m["end"]:
+                    if not (name == "svg" and page.endswith("/>", start, at)):
+                        self._muted.append((name, len(stack)))
+                elif any(x == name for x, _ in self._muted):
+                    while self._muted.pop()[0] != name:
+                        pass
                 continue
             if name == "br":
                 self._runs.append(" ")
@@ -179,6 +201,10 @@ class Tree:
                 if name == "hr":
                     self._flush()
                 continue
+            if name not in BLOCKS:
+                if name == "a":
+                    self._in_link = not m["end"]
+                continue
             self._flush()
             self._in_link = False
             if m["end"]:
@@ -187,7 +213,7 @@ class Tree:
                         self._close(k)
                         break
                 continue
-            if stack and names[stack[-1]] == "p" and name not in PHRASING:
+            if stack and names[stack[-1]] == "p":
                 self._close(len(stack) - 1)
             if name in CLOSES and any(self._opened.get(x) for x in CLOSES[name][0]):
                 closed, until = CLOSES[name]
@@ -257,11 +283,19 @@ def labelled_pages(n: int, seed: int = 7) -> list[tuple[str, list[int]]]:
         labels: list[int] = []
 
         def el(name: str, label: int, inner, attrs: str = "") -> None:
+            # Names mislead now and then, on content and on what is none.
+            if rng.random() < 0.06 and name not in ("html", "head", "body"):
+                attrs = f' {rng.choice(["class", "id"])}="{misnomer()}"'
             out.append(f"<{name}{attrs}>")
             labels.append(label)
             inner() if callable(inner) else out.append(inner)
             out.append(f"</{name}>")
 
+        def misnomer() -> str:
+            word = rng.choice(sorted(KEY_KIND))
+            other = rng.choice(KEY_WORDS["content"].split()) if rng.random() < 0.3 else words(1, 1)
+            return rng.choice("- _").join(rng.sample([word, other], 2)) if rng.random() < 0.9 else word
+
         def menu(label: int = 0) -> None:
             el("ul", label, lambda: [el("li", 0, f'<a href="/x">{words(1, 3)}</a>') for _ in range(rng.randint(2, 9))])
 
@@ -392,7 +426,7 @@ def labelled_pages(n: int, seed: int = 7) -> list[tuple[str, list[int]]]:
 
 
 def widget_pages(n: int, seed: int = 11) -> list[tuple[str, list[int]]]:
-    """Labelled pages whose articles and menus hold controls and embedded objects."""
+    """Labelled pages whose paragraphs, headings, items and menus hold controls and embedded objects."""
     rng = random.Random(seed)
     letters = "etaoinshrdlucmfwypvbgk"
 
@@ -401,19 +435,16 @@ def widget_pages(n: int, seed: int = 11) -> list[tuple[str, list[int]]]:
 
     def page() -> tuple[str, list[int]]:
         parts, labels = ["<html><body>"], [0, 0]
+        control = lambda: f"<{(name := rng.choice(sorted(MUTED)))}>{words(rng.randint(1, 6))}</{name}>"
         for _ in range(rng.randint(0, 2)):
-            name = rng.choice(sorted(PHRASING))
-            parts.append(f"<nav><{name}>{words(rng.randint(1, 4))}</{name}></nav>")
-            labels += [0, 0]
+            parts.append(f"<nav>{control()}</nav>")
+            labels.append(0)
         parts.append(f"<article><h1>{words(rng.randint(1, 9))}</h1>")
         labels += [1, 1]
         for _ in range(rng.randint(2, 8)):
-            parts.append(f"<p>{words(rng.randint(8, 80))}</p>")
+            name, text = rng.choice(["p", "p", "p", "h2", "li"]), words(rng.randint(3, 60))
+            parts.append(f"<{name}>{text} {control() if rng.random() < 0.3 else ''} {words(rng.randint(0, 5))}</{name}>")
             labels.append(1)
-            if rng.random() < 0.3:
-                name = rng.choice(sorted(PHRASING))
-                parts.append(f"<{name}>{words(rng.randint(1, 6))}</{name}>")
-                labels.append(0)
         return "".join([*parts, "</article></body></html>"]), labels
 
     return [page() for _ in range(n)]

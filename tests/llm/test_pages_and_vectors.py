@@ -19,6 +19,86 @@ def test_unended_controls_lose_nothing():
     assert "The area is a squared" in got[1] and "A third part" in got[1] and "none" not in got[1]
 
 
+@pytest.mark.parametrize("name", sorted(htmltext.MUTED))
+def test_controls_in_short_blocks_lose_nothing_but_their_label(name):
+    """In a paragraph, a heading and an item of a few words; the line stays one block."""
+    inner = f"<{name}><b>LABEL</b></{name}>"
+    page = f"<html><body><nav><a href=/x>Home</a>{inner}</nav><article><h2>Some {inner} heading</h2><p>Press the {inner} key now</p><ul><li>first {inner}item</li><li>second</li></ul><p>And a last paragraph that has some more words in it.</p></article></body></html>"
+    assert htmltext.main_texts([page]) == ["Some heading\nPress the key now\nfirst item\nsecond\nAnd a last paragraph that has some more words in it."]
+
+
+def test_whatever_is_no_block_stays_in_its_line():
+    page = (
+        "<article><p>Look at <picture><source srcset=a><img src=b></picture> the picture that <my-icon>stands</my-icon> in the line.</p>"
+        "<p>The <math><semantics><mrow><mi>x</mi><mo>is</mo></mrow><annotation encoding='application/x-tex'>x</annotation></semantics></math> squared, <svg viewBox='0 0 1 1'/> and <svg><title>no</title><text>no</text></svg> nothing <blink>else</blink> at all.</p>"
+        "</article>"
+    )
+    assert htmltext.main_texts([page]) == ["Look at the picture that stands in the line.\nThe xis squared, and nothing else at all."]
+
+
+def test_misleading_names_keep_long_text():
+    text = "These are the words of a paragraph that goes on for quite a while, as paragraphs of articles do, and that nobody would take for an advert or a menu of any kind."
+    for attrs in ('id="related-work"', 'class="story reply"', 'id="more-results"', 'class="legal-basis"'):
+        got = htmltext.main_texts([f"<html><body><nav><ul><li><a href=/a>Home</a></li></ul></nav><article><h1>A title of it</h1><p>{text}</p><section {attrs}><h2>On this</h2><p>{text}</p><p>{text}</p></section><p {attrs}>{text}</p></article><footer>me</footer></body></html>"])
+        assert got[0].count(text) == 4, attrs
+
+
+def plain_blocks(tree: list) -> list[str]:
+    """Blocks of a tree of (name, children) and texts: the text between two block borders is one."""
+    out, run = [], []
+
+    def end():
+        text = " ".join("".join(run).split())
+        if text:
+            out.append(text)
+        run.clear()
+
+    def walk(children, muted):
+        for child in children:
+            if isinstance(child, str):
+                if not muted:
+                    run.append(child)
+                continue
+            name, inner = child
+            if name in htmltext.BLOCKS:
+                end()
+            walk(inner, muted or name in htmltext.MUTED)
+            if name in htmltext.BLOCKS:
+                end()
+
+    walk(tree, False)
+    end()
+    return out
+
+
+def test_blocks_as_a_plain_reader_sees_them():
+    """Random small trees: the same blocks, none lost or cut, before the model chooses."""
+    import random
+
+    rng = random.Random(4)
+
+    def inline(depth):
+        out = []
+        for _ in range(rng.randint(1, 3)):
+            if depth and rng.random() < 0.5:
+                out.append((rng.choice(["b", "a", "span", "x-y", "picture", "math", "semantics", "label", *sorted(htmltext.MUTED)]), inline(depth - 1)))
+            else:
+                out.append(rng.choice(["one", " two ", "three\n", "  ", "é"]))
+        return out
+
+    def block(depth):
+        name = rng.choice(["div", "section", "article", "blockquote", "p", "h2", "pre"])
+        inner = inline(2) if name in ("p", "h2") or not depth else [x for _ in range(rng.randint(1, 3)) for x in (inline(2) if rng.random() < 0.4 else [block(depth - 1)])]
+        return name, inner
+
+    def shown(children):
+        return "".join(c if isinstance(c, str) else f"<{c[0]}>{shown(c[1])}</{c[0]}>" for c in children)
+
+    for _ in range(400):
+        tree = [("html", [("body", [block(3) for _ in range(rng.randint(1, 3))])])]
+        assert [text for _, text in htmltext.Tree(shown(tree)).blocks] == plain_blocks(tree)
+
+
 def test_deep_pages():
     text = "The deep text of this article is here, with some more words to make it long enough for all."
     for depth in (10, 3000):
