@@ -41,6 +41,17 @@ def request_id(header: Column, otherwise: Column) -> Column:
     return F.substring(F.coalesce(header, otherwise), 1, REQUEST_ID_LENGTH)
 
 
+def iso_instant(text: Column, zone: str = "UTC") -> Column:
+    """The instant that ISO text names (I17): with an offset that moment, without one the time as clocks of ``zone`` show it; null for other text.
+
+    The session's time zone plays no part.
+    """
+    dated = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text)
+    timed = F.when(dated.contains("T"), dated).otherwise(F.concat(dated, F.lit("T00:00:00")))
+    offset = timed.rlike(r"(?:Z|[+-]\d{2}(?::?\d{2})?)$")
+    return F.try_to_timestamp(F.when(offset, timed).otherwise(F.concat(timed, F.lit(" "), F.lit(zone))))
+
+
 def name_uuid(*parts: Column) -> Column:
     """A UUID that the parts decide (I18): of version 8, whose bits are the maker's own, here from a SHA-256 of the parts and their lengths."""
     told = F.concat(*[F.coalesce(F.concat(F.octet_length(p.cast("string")).cast("string"), F.lit(":"), p.cast("string")), F.lit("-")) for p in parts])

@@ -6,15 +6,35 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.functions import geometry
 from matchloom.functions.text import all_ascii, normalize_name, normalize_number
-from matchloom.operators import blocking, decision, enrichment, evidence
+from matchloom.operators import blocking, decision, enrichment, evidence, uploads
 from matchloom.plans.options import Options
+from matchloom.sources import writers
 from matchloom.sources.scratch import scratch
 
 
+class Validator(Protocol):
+    """Uploads (mime, size, fmt, width, height, readable) to the code of the first check that fails; null where none does."""
+
+    def __call__(self, options: Options) -> Column: ...
+
+
+class Locator(Protocol):
+    """Uploads (plausible, width, height, blur) to the code of why no single sharp card is found in them; null where one is."""
+
+    def __call__(self, options: Options) -> Column: ...
+
+
+class FeedbackSink(Protocol):
+    """Stores valid feedback under a path; returns the rest."""
+
+    def __call__(self, feedback: DataFrame, path: str, created_at: Column | None = None) -> DataFrame: ...
+
+
 class Reader(Protocol):
     """Raw scans to scans with obs_name, obs_number and ocr_quality."""
 
@@ -45,6 +65,14 @@ def read_keys(scans: DataFrame) -> DataFrame:
     return scans.withColumn("obs_name", normalize_name(F.col("raw_name"), plain)).withColumn("obs_number", normalize_number(F.col("raw_number"), plain))
 
 
+def checked(options: Options) -> Column:
+    return uploads.upload_code(*[F.col(c) for c in ("mime", "size", "fmt", "width", "height", "readable")], options)
+
+
+def located(options: Options) -> Column:
+    return uploads.location_code(F.col("plausible"), geometry.whole_image_is_card(F.col("width"), F.col("height")), F.col("blur"), options)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df, made once however often it is used: written to the shared folder and read from there.
 
@@ -64,12 +92,25 @@ class Engine:
     """
 
     options: Options = field(default_factory=Options)
+    validator: Validator = checked
+    locator: Locator = located
     reader: Reader = read_keys
     blocker: Blocker = blocking.block
     scorer: Scorer = evidence.gather
     pricer: Pricer = enrichment.with_prices
+    feedback: FeedbackSink = writers.append_feedback
     keep: Callable[[DataFrame], DataFrame] = written
 
+    def intake(self, received: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Uploads that may be read, and error rows (http_status, code, detail) of the others.
+
+        Validation comes first; what fails it is not located.  One bad upload costs its row and not the batch.
+        """
+        code = F.coalesce(self.validator(self.options), self.locator(self.options))
+        judged = received.withColumn("code", code)
+        refused = decision.error_rows(judged.withColumn("detail", F.col("code")))
+        return judged.where("code IS NULL").drop("code"), refused
+
     def read(self, scans: DataFrame) -> DataFrame:
         """Raw scans with their keys."""
         return self.reader(scans)

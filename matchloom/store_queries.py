@@ -7,8 +7,10 @@ import contextlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.operators import admission, asof, contracts, coverage, decision, enrichment, quality
+from matchloom.functions import display
+from matchloom.operators import admission, asof, contracts, coverage, decision, enrichment, evidence, quality
 from matchloom.operators.catalog import InvalidCatalogError
+from matchloom.plans import endpoints
 from matchloom.plans import fixtures as fx
 from matchloom.plans.engine import Engine
 from matchloom.registry import SQL, query
@@ -267,3 +269,79 @@ def wrong_confident_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = results.select("recognition_id", F.col("card_id").alias("predicted_card_id"), F.when(key == 1, "other").alias("correct_card_id"), (key == 0).alias("is_correct"))
     writers.append_feedback(said, path, _AS_OF_COLUMN())
     return quality.wrong_confident(readers.stored(spark, path, "recognition_feedback"), results).select("scan_id", "card_id", "confidence", "correct_card_id")
+
+
+# Intake, endpoints and readers
+
+_INTAKE_SQL = """
+u AS (SELECT o_orderkey AS upload_id, CASE o_orderkey % 5 WHEN 0 THEN 'IMAGE/JPEG' WHEN 1 THEN 'image/png' WHEN 2 THEN 'text/plain' ELSE 'image/webp' END AS mime,
+  CAST(o_orderkey % 6000 + 100 AS INTEGER) AS width, CAST(o_custkey % 6000 + 200 AS INTEGER) AS height, o_orderkey % 3 AS plausible, (o_orderkey % 70)::DOUBLE AS blur FROM orders),
+c AS (SELECT upload_id, CASE WHEN mime = 'text/plain' OR least(width, height) < 320 THEN 'invalid_image' WHEN width::BIGINT * height > 24000000 THEN 'image_too_large' WHEN plausible > 1 THEN 'multiple_cards'
+  WHEN plausible = 0 AND NOT least(width, height)::DOUBLE / greatest(width, height) BETWEEN 0.62 AND 0.78 THEN 'card_not_found' WHEN blur < 34 THEN 'image_too_blurry' END AS code FROM u)
+"""
+
+
+@query(f"WITH {_INTAKE_SQL} SELECT upload_id, code, CASE WHEN code IS NULL THEN 200 ELSE 422 END AS http_status FROM c")
+def intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads through validation and location: what may be read, and why the rest may not."""
+    k = F.col("o_orderkey")
+    mime = F.when(k % 5 == 0, "IMAGE/JPEG").when(k % 5 == 1, "image/png").when(k % 5 == 2, "text/plain").otherwise("image/webp")
+    received = fx.tables(spark, sf_dir, "orders")[0].select(
+        k.alias("upload_id"), mime.alias("mime"), F.lit(1000).cast("long").alias("size"), F.lit("JPEG").alias("fmt"), (k % 6000 + 100).cast("int").alias("width"), (F.col("o_custkey") % 6000 + 200).cast("int").alias("height"),
+        F.lit(True).alias("readable"), (k % 3).alias("plausible"), (k % 70).cast("double").alias("blur"),
+    )
+    good, refused = Engine().intake(received)
+    return good.select("upload_id", F.lit(None).cast("string").alias("code"), F.lit(200).alias("http_status")).unionByName(refused.select("upload_id", "code", "http_status"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(greatest(0, least(1, (l_quantity / 40 + l_discount * 10) / 2)), 6) AS quality FROM lineitem")
+def reading_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of a reading from the confidences of its name and number, some of them beyond their range."""
+    quality_ = evidence.ocr_quality(F.col("l_quantity") / 40, F.col("l_discount") * 10)
+    return fx.tables(spark, sf_dir, "lineitem")[0].select("l_orderkey", "l_linenumber", F.round(quality_, 6).alias("quality"))
+
+
+@query(f"WITH {fx.CATALOG_SQL} SELECT e.event_id AS request_id, c.name, p.amount, coalesce(p.currency, 'USD') AS currency FROM events e JOIN catalog c ON c.card_id = CAST(e.event_id % 300 AS VARCHAR) LEFT JOIN prices p ON p.card_id = c.card_id WHERE e.event_type = 'view'")
+def card_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for cards by id, some for unknown ones."""
+    f, events = fx.cards(spark, sf_dir), fx.tables(spark, sf_dir, "events")[0]
+    asked = events.where("event_type = 'view'").select(F.col("event_id").alias("request_id"), (F.col("event_id") % 300).cast("string").alias("card_id"))
+    return endpoints.cards(asked, f.catalog, f.prices).select("request_id", "card.name", "card.price.amount", "card.price.currency")
+
+
+@query(f"WITH {fx.CATALOG_SQL} SELECT e.event_id AS request_id, c.card_id, p.amount, p.source FROM events e JOIN catalog c ON c.card_id = CAST(e.event_id % 300 AS VARCHAR) LEFT JOIN prices p ON p.card_id = c.card_id WHERE e.event_type = 'click'")
+def price_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for prices by card."""
+    f, events = fx.cards(spark, sf_dir), fx.tables(spark, sf_dir, "events")[0]
+    asked = events.where("event_type = 'click'").select(F.col("event_id").alias("request_id"), (F.col("event_id") % 300).cast("string").alias("card_id"))
+    return endpoints.prices_of(asked, f.catalog, f.prices).select("request_id", "card_id", "price.amount", "price.source")
+
+
+@query("""WITH m AS (SELECT CAST(p_partkey AS VARCHAR) AS card, unnest(CASE WHEN p_partkey % 6 = 0 THEN ['dim', 'glare'] WHEN p_partkey % 6 < 3 THEN ['dim'] ELSE ['sleeve'] END) AS condition, p_partkey % 4 <> 0 AS consented FROM part)
+SELECT condition, count(*) AS photos, count(DISTINCT card) AS cards, count(*) FILTER (consented) AS consented FROM m GROUP BY 1""")
+def manifest_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos of a benchmark manifest by capture condition; the manifest is written as JSON lines and read by its shape."""
+    key, path = F.col("p_partkey"), scratch(spark, "manifest")
+    conditions = F.when(key % 6 == 0, F.array(F.lit("dim"), F.lit("glare"))).when(key % 6 < 3, F.array(F.lit("dim"))).otherwise(F.array(F.lit("sleeve")))
+    part = fx.tables(spark, sf_dir, "part")[0]
+    part.select(F.concat(F.lit("photos/"), key.cast("string")).alias("path"), key.cast("string").alias("expected_card_id"), conditions.alias("conditions"), F.when(key % 4 != 0, "signed").alias("consent"), F.lit(1).alias("unknown")).write.json(path)
+    rows = readers.manifest(spark, path).select("expected_card_id", "consent", F.explode("conditions").alias("condition"))
+    return rows.groupBy("condition").agg(F.count("*").alias("photos"), F.count_distinct("expected_card_id").alias("cards"), F.count("consent").alias("consented"))
+
+
+@query("SELECT event_type AS path, count(*) AS n, round(quantile_cont(value, 0.95), 6) AS p95, count(*) FILTER (event_id % 10 = 0) AS failed FROM events GROUP BY 1")
+def request_log_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The request log as stored JSON lines: latency and failures by path."""
+    path = scratch(spark, "log")
+    events = fx.tables(spark, sf_dir, "events")[0]
+    events.select(F.col("event_id").cast("string").alias("request_id"), F.lit("GET").alias("method"), F.col("event_type").alias("path"), F.when(F.col("event_id") % 10 == 0, 500).otherwise(200).alias("http_status"), F.col("value").alias("ms"), F.col("ts").cast("timestamp").alias("ts")).write.json(path)
+    log = readers.request_log(spark, path)
+    return log.groupBy("path").agg(F.count("*").alias("n"), F.round(F.percentile("ms", F.lit(0.95)), 6).alias("p95"), F.count_if(F.col("http_status") >= 500).alias("failed"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderdate - INTERVAL 2 HOUR WHEN 1 THEN o_orderdate WHEN 2 THEN o_orderdate + INTERVAL 5 HOUR END AS at FROM orders""")
+def import_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ISO times with an offset, in UTC, as local clocks five hours behind show them, and texts that are none."""
+    day, k = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.col("o_orderkey") % 4
+    text = F.when(k == 0, F.concat(day, F.lit("+02:00"))).when(k == 1, F.concat(day, F.lit("Z"))).when(k == 2, day).otherwise("no time")
+    return fx.tables(spark, sf_dir, "orders")[0].select("o_orderkey", display.iso_instant(text, "-05:00").cast("timestamp_ntz").alias("at"))

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from matchloom.functions import display, geometry
 from matchloom.operators import admission, asof, contracts, coverage, enrichment, quality
 from matchloom.operators.catalog import InvalidCatalogError
+from matchloom.plans import endpoints
+from matchloom.plans.engine import Engine
 from matchloom.sources import readers, versions, writers
 from matchloom.streaming.admission import admit_stream
 from matchloom.streaming.refresh import apply_prices, bucket_prices, refresh_prices
@@ -342,6 +344,54 @@ def test_slices_in_one_pass(spark):
     assert [tuple(r) for r in quality.confusion_matrix(df.limit(0)).collect()] == [("total", 0, 0, 0, 0)]
 
 
+# Intake, endpoints, times
+
+
+def test_times_with_and_without_offset(spark):
+    rows = [("2024-01-02T03:04:05+02:00",), ("2024-01-02T03:04:05Z",), ("2024-01-02T03:04:05.5",), ("2024-07-02T03:04:05",), ("2024-01-02",), ("soon",), ("",), (None,)]
+    df = spark.createDataFrame(rows, "t string")
+    try:
+        for session in ("UTC", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", session)
+            got = [r[0] for r in df.select(F.unix_micros(display.iso_instant(F.col("t"), "Europe/Paris"))).collect()]
+            micros = lambda *a: int((datetime(*a) - datetime(1970, 1, 1)).total_seconds() * 1_000_000)
+            assert got == [micros(2024, 1, 2, 1, 4, 5), micros(2024, 1, 2, 3, 4, 5), micros(2024, 1, 2, 2, 4, 5, 500_000), micros(2024, 7, 2, 1, 4, 5), micros(2024, 1, 1, 23, 0, 0), None, None, None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_intake_and_replaced_ports(spark):
+    shape = "upload_id int, mime string, size long, fmt string, width int, height int, readable boolean, plausible int, blur double"
+    rows = [(1, "image/png", 5, "PNG", 500, 700, True, 1, 90.0), (2, "text/plain", 5, "PNG", 500, 700, True, 1, 90.0), (3, "image/png", 5, "PNG", 500, 700, True, 2, 1.0), (4, "image/png", 5, "PNG", 500, 700, True, 0, 1.0), (5, "image/png", 5, "PNG", 500, 5000, True, 0, 90.0), (6, None, None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, shape)
+    good, refused = Engine().intake(df)
+    assert [r.upload_id for r in good.collect()] == [1]
+    assert {r.upload_id: (r.code, r.http_status) for r in refused.collect()} == {2: ("invalid_image", 422), 3: ("multiple_cards", 422), 4: ("image_too_blurry", 422), 5: ("card_not_found", 422), 6: ("invalid_image", 422)}
+    good, refused = Engine(validator=lambda o: F.when(F.col("upload_id") > 3, "invalid_image"), locator=lambda o: F.lit(None).cast("string")).intake(df)
+    assert good.count() == 3 and refused.count() == 3
+
+
+def test_endpoints(spark, tmp_path):
+    path = str(tmp_path / "db")
+    writers.create_tables(spark, path)
+    writers.import_catalog(records(spark, tmp_path, record("a", price={"amount": 2.5, "currency": "EUR"}), record("b")), path, as_of())
+    catalog, prices = readers.stored(spark, path, "cards"), readers.stored(spark, path, "card_prices")
+    asked = spark.createDataFrame([(1, "a"), (2, "b"), (3, "none"), (4, "a"), (5, None)], "request_id int, card_id string")
+    cards = {r.request_id: r.card for r in endpoints.cards(asked, catalog, prices).collect()}
+    assert set(cards) == {1, 2, 4} and cards[1].price.amount == 2.5 and cards[2].price.amount is None and cards[2].price.currency == "USD"
+    assert {r.request_id: r.price.amount for r in endpoints.prices_of(asked, catalog, prices).collect()} == {1: 2.5, 2: None, 4: 2.5}
+    bad = endpoints.feedback(spark.createDataFrame([("r" * 36, "a", None, False), ("x", "a", None, False)], "recognition_id string, predicted_card_id string, correct_card_id string, is_correct boolean"), path, as_of())
+    assert bad.count() == 1 and readers.stored(spark, path, "recognition_feedback").count() == 1
+    assert endpoints.health(spark.createDataFrame([("m", True), ("n", False)], "artifact string, present boolean")).first().models == "artifacts_required"
+
+
+def test_safe_paths(spark):
+    cases = {"/a/b?q=1#f": "/a/b?q=1#f", "//x": "/", "/\\x": "/", "/a/../../b": "/b", "/a/..": "/", "/a/b/.": "/a/b/", "/%2e%2E/callback": "/", "/callback": "/", "/callback/": "/callback/", "x": "/", "https://x.invalid/a": "/", "/\t/x": "/", "/a\\b": "/a/b", "/": "/", "": "/", None: "/"}
+    df = spark.createDataFrame([(k,) for k in cases], "p string")
+    got = {r.p: r.s for r in df.select("p", display.safe_path(F.col("p"), ("/callback",)).alias("s")).collect()}
+    assert got == cases
+
+
 # Contours
 
 
