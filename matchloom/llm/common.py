@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import re
 import shutil
 import tempfile
@@ -64,12 +63,6 @@ def release(df: DataFrame | None) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def settle(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished, written steps now and not at the driver's next collection."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Broadcast hint only when the counted size allows it; otherwise the join shuffles."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

@@ -277,8 +277,8 @@ def compare(shards: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, f"doc {kind}, twin bigint, start bigint, end bigint")
 
 
-def repeated_spans(texts: DataFrame, length: int, piece: int) -> DataFrame:
-    """Stretches (doc, twin, start, end) to remove from texts (doc, twin, text); they may overlap."""
+def repeated_spans(texts: DataFrame, length: int, piece: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Stretches (doc, twin, start, end) to remove from texts (doc, twin, text), which may overlap; and the tables written on the way."""
     anchors = materialise(anchor_counts(texts, length, piece), "suffix-anchors")
     rows = placed_segments(texts, length, piece).join(anchors.withColumnRenamed("anchor", "_anchor"), F.col("anchor") == F.col("_anchor")).drop("_anchor")
     rows = materialise(rows, "suffix-segments")
@@ -287,6 +287,7 @@ def repeated_spans(texts: DataFrame, length: int, piece: int) -> DataFrame:
     unlike = first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select(F.col("anchor").alias("key"), (F.col("n") > HOT).alias("hot"))
     wanted = first.join(unlike, F.col("anchor") == F.col("key")).select("key", "hot", "inner", "size", "place")
     shards = materialise(cut(texts, wanted), "suffix-shards")
+    written = [rows, first, shards]
     ready, hot = shards.where("NOT hot").drop("hot", "inner", "size"), shards.where("hot")
     high = length - piece
     width = int(np.ceil(np.sqrt(high + 1)))
@@ -296,14 +297,16 @@ def repeated_spans(texts: DataFrame, length: int, piece: int) -> DataFrame:
         parts = split(hot, 0, high, each, length) if each > 1 else split_parts(hot, width, length)
         kept, copies = once(parts, ["key", "data"], ["size", "inner", "low"], f"suffix-split-{each}")
         spans = spans.unionByName(copies)
+        written.append(kept)
         if each == 1:
             break  # a part of one window holds no unlike segments
         counts = kept.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n")).where("n > 1")
         met = kept.join(counts, F.col("key") == F.col("_key")).select("key", "place.doc", "place.twin", "place.start", "size", "inner", "low", "data", (F.col("n") > HOT).alias("hot"))
         met = materialise(met, "suffix-parts")
+        written.append(met)
         ready = ready.unionByName(met.where("NOT hot").select(*ready.columns))
         hot = met.where("hot")
-    return spans.unionByName(compare(ready, length))
+    return spans.unionByName(compare(ready, length)), written
 
 
 def split_parts(rows: DataFrame, width: int, length: int) -> DataFrame:
@@ -340,8 +343,11 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     arrow_batches(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     texts = docs.select(F.col(f"`{id_col}`").alias("doc"), F.xxhash64(text).alias("twin"), text.alias("text"))
-    spans = repeated_spans(texts, length, PIECE)
+    spans, written = repeated_spans(texts, length, PIECE)
     listed = spans.groupBy(F.col("doc").alias("_doc"), F.col("twin").alias("_twin")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    listed = materialise(listed, "suffix-spans")
+    for old in written:
+        release(old)
     joined = texts.join(listed, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("twin") == F.col("_twin")), "left").select("doc", "text", "spans")
     kind = texts.schema["doc"].dataType.simpleString()
     shape = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
