@@ -676,6 +676,21 @@ def test_lines_with_small_edits_are_found(spark):
     assert not dropped & set(range(1000)) and len(dropped) >= 0.95 * 200
 
 
+@pytest.mark.parametrize(("length", "letters", "changed"), [(100, "acgt", 1), (120, "abcdefghijklmnopqrstuvwxyz", 2), (300, "abcdefghijklmnopqrstuvwxyz", 9)])
+def test_lines_of_one_long_token_are_found(spark, length, letters, changed):
+    """Lines without word starts, such as sequences and keys, with a few letters changed."""
+    rng = random.Random(length)
+    rows = []
+    for k in range(60):
+        line = [rng.choice(letters) for _ in range(length)]
+        other = list(line)
+        for at in rng.sample(range(length), changed):
+            other[at] = rng.choice([x for x in letters if x != other[at]])
+        rows += [(k, "".join(line), "en", "s", 0), (1000 + k, "".join(other), "en", "s", 0)]
+    dropped = {r.doc_id for r in linededup.dropped_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert not dropped & set(range(1000)) and len(dropped) >= 0.9 * 60
+
+
 def edit_distance(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
