@@ -14,8 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.operators.asof import asof
-
 UNKNOWN_CLIENT = "unknown"
 
 
@@ -64,22 +62,24 @@ class Failover:
 MODES: dict[str, Callable[[int, int], SlidingLog | FixedWindow | Failover]] = {"sliding": SlidingLog, "fixed": FixedWindow, "failover": Failover}
 
 
-def mark_outages(requests: DataFrame, outages: DataFrame) -> DataFrame:
+def mark_outages(requests: DataFrame, outages: DataFrame, slice_seconds: int = 86_400) -> DataFrame:
     """requests with ``down``: whether its time lies in an outage (began, ended: from the first, before the second).
 
-    Outages may overlap; they are first joined where they do, so at most one holds any time.
+    A time is in one if the latest end of all outages that began until then lies behind it, so outages may overlap.  That end
+    is carried along in time order, slice by slice, with what a slice starts with from one row for each slice before it.
+    A request without a time is in none.
     """
-    begun = asof(requests.withColumn("_all", F.lit(0)), merged_outages(outages).withColumn("_all", F.lit(0)), "_all", "ts", "began", ["ended"])
-    return begun.withColumn("down", F.coalesce(F.col("ts").cast("timestamp") < F.col("ended"), F.lit(False))).drop("_all", "ended")
-
-
-def merged_outages(outages: DataFrame) -> DataFrame:
-    """Outages (began, ended) that overlap or touch as one; empty ones go.  There are few outages: they are events of operation, not requests."""
-    given = outages.select(F.col("began").cast("timestamp").alias("began"), F.col("ended").cast("timestamp").alias("ended")).where("began < ended")
-    before = Window.orderBy("began", "ended").rowsBetween(Window.unboundedPreceding, -1)
-    opens = F.coalesce(F.col("began") > F.max("ended").over(before), F.lit(True)).cast("int")
-    numbered = given.withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(Window.orderBy("began", "ended")))
-    return numbered.groupBy("_run").agg(F.min("began").alias("began"), F.max("ended").alias("ended")).drop("_run")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    begun = outages.select(micros("began").alias("_at"), F.lit(0).alias("_side"), micros("ended").alias("_ended")).where("_at IS NOT NULL")
+    asked = requests.select(micros("ts").alias("_at"), F.lit(1).alias("_side"), F.struct(*requests.columns).alias("_row"))
+    both = begun.unionByName(asked, allowMissingColumns=True).withColumn("_slice", F.floor(F.col("_at") / (slice_seconds * 1_000_000)))
+    ends = both.groupBy("_slice").agg(F.max("_ended").alias("_last"))
+    earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # one row for each slice
+    carried = ends.select(F.col("_slice").alias("_s"), F.max("_last").over(earlier).alias("_before"))
+    here = Window.partitionBy("_slice").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_last", F.max("_ended").over(here)).where("_side = 1").join(carried, F.col("_slice") == F.col("_s"), "left")
+    down = F.coalesce(F.col("_at") < F.greatest("_last", "_before"), F.lit(False))
+    return seen.select("_row.*", down.alias("down"))
 
 
 def admit(requests: DataFrame, limit: int = 30, window_seconds: float = 60.0, mode: str = "sliding") -> DataFrame:

@@ -178,16 +178,15 @@ def admission_failover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SQL["admission_failover"])
 def admission_failover_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as a stream; outages are a static side that few rows make up."""
+    """The same as a stream of requests that say whether the counter was down."""
     requests, outages = _requests(spark, sf_dir)
+    marked = admission.mark_outages(requests, outages)
     source, out = scratch(spark, "requests"), scratch(spark, "admitted")
-    downs = F.broadcast(admission.merged_outages(outages))
     for part in range(3):
         # A third of the month arrives, then the stream takes it and stops: state goes on from where it was.
-        requests.where(F.least(F.floor((F.day("ts") - 1) / 10), F.lit(2)) == part).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(requests.schema).parquet(source)
-        marked = stream.join(downs, (stream["ts"] >= downs["began"]) & (stream["ts"] < downs["ended"]), "left").withColumn("down", F.col("began").isNotNull()).drop("began", "ended")
-        job = admit_stream(marked, 2, 86_400, "failover", "60 days").writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start()
+        marked.where(F.least(F.floor((F.day("ts") - 1) / 10), F.lit(2)) == part).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(marked.schema).parquet(source)
+        job = admit_stream(stream, 2, 86_400, "failover", "60 days").writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start()
         job.awaitTermination()
     return spark.read.schema("request_id long, client string, allowed boolean").parquet(out)
 
