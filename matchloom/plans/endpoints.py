@@ -7,7 +7,6 @@ a request without one (an unknown card) has no row, as the service answers 404.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from matchloom.operators import enrichment, uploads
 from matchloom.plans.engine import Engine
