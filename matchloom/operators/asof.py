@@ -21,7 +21,7 @@ def asof(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time
     rest = [c for c in left.columns if c not in (key, left_time)]
     value = F.struct(*[F.col(v).alias(v) for v in values])
     # Ties and the rule "at or before" are in the order: right rows come before left ones of the same time.
-    order = F.col(tie).cast("string" if dict(right.dtypes)[tie] == "string" else "double") if tie else F.lit(0.0)
+    order = F.col(tie) if tie else F.lit(0)
     rights = right.where(F.col(key).isNotNull() & F.col(right_time).isNotNull()).select(F.col(key).alias("_key"), F.col(right_time).cast("timestamp").alias("_at"), F.lit(0).alias("_side"), order.alias("_tie"), value.alias("_value"))
     lefts = left.select(F.col(key).alias("_key"), F.col(left_time).cast("timestamp").alias("_at"), F.lit(1).alias("_side"), F.struct(*[F.col(c) for c in [key, left_time, *rest]]).alias("_row"))
     both = rights.unionByName(lefts, allowMissingColumns=True).withColumn("_slice", F.floor(F.unix_micros("_at") / (slice_seconds * 1_000_000)))

@@ -563,13 +563,14 @@ def simplified_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
 h AS (SELECT *, (wx * vy - vx * wy) / nullif(ux * vy - vx * uy, 0) AS g, (ux * wy - wx * uy) / nullif(ux * vy - vx * uy, 0) AS h FROM e),
 m AS (SELECT *, tr.x - tl.x + g * tr.x AS a, bl.x - tl.x + h * bl.x AS b, tl.x AS c, tr.y - tl.y + g * tr.y AS d, bl.y - tl.y + h * bl.y AS e, tl.y AS f, (tl.x + tr.x + br.x + bl.x) / 4 AS px, (tl.y + tr.y + br.y + bl.y) / 4 AS py FROM h),
 s AS (SELECT *, a * e - b * d + (d * h - e * g) * px + (b * g - a * h) * py AS w FROM m)
-SELECT l_orderkey, l_linenumber, round(743 * ((e - f * h) * px + (c * h - b) * py + b * f - c * e) / nullif(w, 0), 4) AS x, round(1038 * ((f * g - d) * px + (a - c * g) * py + c * d - a * f) / nullif(w, 0), 4) AS y FROM s""")
+SELECT l_orderkey, l_linenumber, round(743 * ((e - f * h) * px + (c * h - b) * py + b * f - c * e) / nullif(w, 0) + 1.3e-6::DOUBLE, 4) AS x, round(1038 * ((f * g - d) * px + (a - c * g) * py + c * d - a * f) / nullif(w, 0) + 1.3e-6::DOUBLE, 4) AS y FROM s""")
 def rectified_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the middle of each quad's corners lies once the quad is made a rectangle of 744 by 1039 points."""
     c = geometry.with_homography(_quads(spark, sf_dir).withColumn("c", geometry.ordered_corners(F.col("points"))), "c", 743.0, 1038.0, "m")
     middle = lambda axis: (F.get("c", F.lit(0))[axis] + F.get("c", F.lit(1))[axis] + F.get("c", F.lit(2))[axis] + F.get("c", F.lit(3))[axis]) / 4
     to = c.select("l_orderkey", "l_linenumber", geometry.mapped(F.col("m"), middle("x"), middle("y")).alias("to"))
-    return to.select("l_orderkey", "l_linenumber", F.round("to.x", 4).alias("x"), F.round("to.y", 4).alias("y"))
+    # Whole parts of two are frequent here; a little is added so that none lies halfway between two roundings.
+    return to.select("l_orderkey", "l_linenumber", F.round(F.col("to.x") + 1.3e-6, 4).alias("x"), F.round(F.col("to.y") + 1.3e-6, 4).alias("y"))
 
 
 @query("""WITH g AS (SELECT vec_id, list_transform(embedding, lambda x: floor((x::DOUBLE + 1) * 127.5)) AS v FROM embeddings),

@@ -71,9 +71,9 @@ def import_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CHANGES_SQL = """
 changes AS (
   SELECT l_partkey AS card, TIMESTAMP '2023-12-20' + to_minutes(30 * date_diff('day', DATE '1995-01-01', l_shipdate::DATE)) AS changed_at, l_extendedprice AS amount, l_orderkey * 8 + l_linenumber AS ordinal FROM lineitem
-  QUALIFY row_number() OVER (PARTITION BY card, changed_at ORDER BY ordinal DESC) = 1),
+  QUALIFY row_number() OVER (PARTITION BY card, changed_at ORDER BY ordinal DESC, amount DESC) = 1),
 aged AS (
-  SELECT e.event_id, e.ts, c.amount, epoch_us(e.ts) / 1000000.0 - epoch_us(c.changed_at) / 1000000.0 AS age_seconds
+  SELECT e.event_id, e.ts, c.amount, (epoch_us(e.ts) - epoch_us(c.changed_at))::DOUBLE / 1000000 AS age_seconds
   FROM events e ASOF LEFT JOIN changes c ON c.card = e.user_id AND c.changed_at <= e.ts)
 """
 
@@ -82,14 +82,14 @@ def _aged(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, lines = fx.tables(spark, sf_dir, "events", "lineitem")
     days = F.date_diff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date"))
     changed = F.lit("2023-12-20").cast("timestamp") + F.make_dt_interval(mins=days * 30)
-    changes = lines.select(F.col("l_partkey").alias("card"), changed.alias("at"), F.col("l_extendedprice").alias("amount"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ordinal"))
+    changes = lines.select(F.col("l_partkey").alias("card"), changed.alias("at"), F.col("l_extendedprice").alias("amount"), F.struct((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"), F.col("l_extendedprice").alias("price")).alias("ordinal"))
     return asof.value_age(events.select("event_id", F.col("user_id").alias("card"), "ts"), changes, "card", "ts", "at", ["amount"], "ordinal")
 
 
-@query(f"WITH {_CHANGES_SQL} SELECT event_id, amount, round(age_seconds, 3) AS age_seconds FROM aged")
+@query(f"WITH {_CHANGES_SQL} SELECT event_id, amount, round(age_seconds, 6) AS age_seconds FROM aged")
 def price_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every request with the price that was current then, of changes made of the order lines."""
-    return _aged(spark, sf_dir).select("event_id", "amount", F.round("age_seconds", 3).alias("age_seconds"))
+    return _aged(spark, sf_dir).select("event_id", "amount", F.round("age_seconds", 6).alias("age_seconds"))
 
 
 @query(f"""WITH {_CHANGES_SQL} SELECT time_bucket(INTERVAL 1 DAY, ts) AS bucket, count(*) AS n, round(avg((age_seconds IS NOT NULL)::INTEGER::DOUBLE), 6) AS known,
@@ -101,7 +101,7 @@ def price_age(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {fx.CATALOG_SQL},
-updates AS (SELECT CAST(l_partkey AS VARCHAR) AS card_id, l_extendedprice AS amount, 'feed' AS source, l_shipdate + INTERVAL 25 YEAR + to_milliseconds(l_orderkey * 8 + l_linenumber) AS updated_at FROM lineitem),
+updates AS (SELECT CAST(l_partkey AS VARCHAR) AS card_id, l_extendedprice AS amount, 'feed' AS source, l_shipdate + INTERVAL 25 YEAR + to_milliseconds(l_orderkey * 8 + l_linenumber) + to_microseconds(CAST(round(l_extendedprice * 100) AS BIGINT)) AS updated_at FROM lineitem),
 both_ AS (SELECT card_id, amount, source, updated_at FROM prices UNION ALL SELECT * FROM updates)
 SELECT * FROM both_ QUALIFY row_number() OVER (PARTITION BY card_id ORDER BY updated_at DESC) = 1""")
 def price_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ def price_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     writers.create_tables(spark, path)
     bucket_prices(spark, path, 8)
     apply_prices(f.prices, path, "cache", 0)
-    at = F.col("l_shipdate").cast("timestamp") + F.make_ym_interval(F.lit(25)) + F.make_dt_interval(secs=(F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("decimal(18,6)") / 1000)
+    at = F.col("l_shipdate").cast("timestamp") + F.make_ym_interval(F.lit(25)) + F.make_dt_interval(secs=(((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000 + F.round(F.col("l_extendedprice") * 100).cast("long")) / 1_000_000).cast("decimal(18,6)"))
     updates = fx.tables(spark, sf_dir, "lineitem")[0].select(F.col("l_partkey").cast("string").alias("card_id"), F.col("l_extendedprice").alias("amount"), F.lit(None).cast("string").alias("currency"), F.lit("feed").alias("source"), at.alias("updated_at"))
     for part in range(4):
         updates.where(F.pmod(F.xxhash64("amount"), F.lit(4)) == part).write.mode("append").parquet(feed)
