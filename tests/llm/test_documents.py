@@ -691,6 +691,24 @@ def test_lines_of_one_long_token_are_found(spark, length, letters, changed):
     assert not dropped & set(range(1000)) and len(dropped) >= 0.9 * 60
 
 
+def test_lines_that_share_only_a_crowded_window_are_found(spark):
+    """Two lines with an edit at every tenth letter but for one word, which so many other lines hold that it is crowded."""
+    rng = random.Random(5)
+    token = lambda n=15: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    rows = []
+    for k in range(5):
+        common, line = token(), [token() for _ in range(12)]
+        line[6] = common
+        one = list(" ".join(line))
+        begin, end = 6 * 16, 7 * 16 - 1
+        for at in [*range(4, begin - 2, 10), begin - 2, end + 1, *range(end + 11, len(one), 10)]:
+            one[at] = "z"
+        rows += [(k, " ".join(line), "en", "s", 0), (1000 + k, "".join(one), "en", "s", 0)]
+        rows += [(100 + 30 * k + j, " ".join([*(token() for _ in range(6)), common, *(token() for _ in range(5))]), "en", "s", 0) for j in range(30)]
+    dropped = {r.doc_id for r in linededup.dropped_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert dropped == {1000 + k for k in range(5)}
+
+
 def edit_distance(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
