@@ -190,6 +190,21 @@ def test_a_crash_within_an_epoch_changes_nothing(spark, tmp_path, monkeypatch):
 # As-of joins
 
 
+def test_log_lines_with_a_time_of_zero(spark, tmp_path):
+    """Where the sign of a time is turned, 0 breaks no rule: the query and its SQL agree."""
+    import duckdb
+
+    from matchloom.registry import SQL
+    from matchloom.store_queries import log_contract
+
+    events = [(k, 7, "view", v, '{"k": 3}') for k, v in enumerate([0.0, 1.5] * 13)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    got = sorted(tuple(r) for r in log_contract(spark, str(tmp_path)).select("event_id", "broken", "path", "total_ms").collect())
+    assert got == sorted(duck.execute(SQL["log_contract"]).fetchall()) and (2, None, "/cards/3", 0.0) in got
+
+
 def test_asof_as_brute_force(spark):
     rng, day = random.Random(3), datetime(2024, 1, 1)
     moment = lambda: day + timedelta(hours=rng.randint(0, 240))
