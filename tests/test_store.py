@@ -17,7 +17,8 @@ from matchloom.operators import admission, asof, contracts, coverage, enrichment
 from matchloom.operators.catalog import InvalidCatalogError
 from matchloom.plans import endpoints
 from matchloom.plans.engine import Engine
-from matchloom.sources import readers, versions, writers
+from matchloom.sources import readers, schemas, versions, writers
+from matchloom.streaming import refresh
 from matchloom.streaming.admission import admit_stream
 from matchloom.streaming.refresh import apply_prices, bucket_prices, refresh_prices
 
@@ -190,6 +191,18 @@ def test_a_crash_within_an_epoch_changes_nothing(spark, tmp_path, monkeypatch):
 # As-of joins
 
 
+def test_refresh_sorts_only_the_newest_of_each_card(spark):
+    """Newest by time, then ordinal; older than stored is passed over, equally old replaces.  Updates are not sorted as a whole."""
+    shape = schemas.TABLES["card_prices"]
+    day = lambda n: datetime(2024, 1, n)
+    old = spark.createDataFrame([("a", 1.0, "EUR", "s", day(5)), ("b", 1.0, "EUR", "s", day(5)), ("c", 1.0, "EUR", "s", day(5)), ("d", 1.0, "EUR", "s", day(5))], shape)
+    rows = [("a", 2.0, None, "f", day(4), 1), ("b", 3.0, None, "f", day(5), 1), ("c", 4.0, "EUR", "f", day(6), 1), ("c", 5.0, None, "f", day(6), 2), ("c", 6.0, None, "f", day(2), 3), ("e", 7.0, None, "f", day(1), 1)]
+    got = refresh.merged(old, spark.createDataFrame(rows, "card_id string, amount double, currency string, source string, updated_at timestamp, ordinal long"), "card_id")
+    assert sorted((r.card_id, r.amount, r.currency, r.source) for r in got.collect()) == [("a", 1.0, "EUR", "s"), ("b", 3.0, "USD", "f"), ("c", 5.0, "USD", "f"), ("d", 1.0, "EUR", "s"), ("e", 7.0, "USD", "f")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "HashAggregate" in plan and got.columns == old.columns
+
+
 def test_log_lines_with_a_time_of_zero(spark, tmp_path):
     """Where the sign of a time is turned, 0 breaks no rule: the query and its SQL agree."""
     import duckdb
