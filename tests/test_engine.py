@@ -6,6 +6,7 @@ import json
 from collections import defaultdict, deque
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,21 @@ def test_ctc(spark):
     assert got[2].confidence == got[3].confidence == 0.0 and 0.9 < got[1].confidence < 1
 
 
+def test_hardest_as_brute_force_and_rows_shuffled(spark):
+    """All pairs in tiles of two chunks; a vector goes to as many tiles as there are chunks, which do not follow the batch."""
+    rng = np.random.default_rng(2)
+    rows = [(k, rng.normal(size=8).tolist(), int(rng.integers(5))) for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, v array<float>, label int")
+    v = np.array([r[1] for r in rows], np.float32).astype(float)
+    label, d = np.array([r[2] for r in rows]), np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    for chunks in (1, 4):
+        assert metric.tiles(df, "id", "v", "label", chunks).count() == 300 * chunks
+        for r in metric.hardest(df, "id", "v", "label", chunks).collect():
+            mine = label == label[r.id]
+            assert r.negative == pytest.approx(d[r.id][~mine].min()) and r.positive == pytest.approx(d[r.id][mine].max())
+    assert [metric.chunks_for(n) for n in (0, 5000, 10_000, 200_000, 1_000_000)] == [1, 5, 8, 8, 31]
+
+
 def test_triplet_loss(spark):
     rows = [(1, [0.0, 0.0], 0), (2, [1.0, 0.0], 0), (3, [0.0, 0.5], 1)]
     df = spark.createDataFrame(rows, "id long, v array<double>, label int")
