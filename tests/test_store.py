@@ -218,6 +218,21 @@ def test_log_lines_with_a_time_of_zero(spark, tmp_path):
     assert got == sorted(duck.execute(SQL["log_contract"]).fetchall()) and (2, None, "/cards/3", 0.0) in got
 
 
+def test_stream_shares_state_of_many_clients(spark, tmp_path):
+    """Clients of one group keep windows of their own over restarts, in far fewer calls of the fold than there are clients."""
+    rng = random.Random(3)
+    events = [(k, f"c{rng.randrange(40)}", datetime(2024, 1, 1) + timedelta(seconds=5 * k + rng.random()), rng.random() < 0.4) for k in range(600)]
+    shape = "request_id long, client string, ts timestamp, down boolean"
+    source, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    for part in range(3):
+        spark.createDataFrame(events[200 * part : 200 * part + 200], shape).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(shape).parquet(source)
+        admit_stream(stream, 2, 300, "failover", "2 minutes", groups=3).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = {(r.request_id, r.client): r.allowed for r in spark.read.schema("request_id long, client string, allowed boolean").parquet(out).collect()}
+    want = {(r.request_id, r.client): r.allowed for r in admission.admit(spark.createDataFrame(events, shape), 2, 300, "failover").collect()}
+    assert got == want and len(set(got.values())) == 2
+
+
 def test_asof_as_brute_force(spark):
     rng, day = random.Random(3), datetime(2024, 1, 1)
     moment = lambda: day + timedelta(hours=rng.randint(0, 240))
