@@ -778,3 +778,36 @@ def test_grams_tell_only_unlike_lines_apart(spark):
     apart = [len(grams[3 * k] & grams[3 * k + 2]) for k in range(150)]
     assert min(shared) >= linededup.SHARED > sorted(apart)[100]
     assert len(grams[1000]) < linededup.GRAMS and len(grams[1001]) < linededup.GRAMS
+
+
+def test_windows_at_places_too_far_apart_make_no_pairs(spark):
+    """Lines that share a window are no candidates if what lies before and behind it differs by more than the edits in budget."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(11))
+    common, lines = word(), []
+    for k, at in enumerate((0, 5, 9)):
+        lines.append((k, " ".join([*(word() for _ in range(at)), common, *(word() for _ in range(9 - at))])))
+    lines.append((3, lines[1][1][:-3] + "zzz"))
+    named = spark.createDataFrame(lines, "node long, norm string")
+    sketched = linededup.with_picks(named).join(linededup.with_sketch(named), "node")
+    assert [(r.a, r.b) for r in linededup.window_pairs(sketched, 0.85)[0].collect()] == [(1, 3)]
+
+
+@pytest.mark.parametrize("n_words", [12, 40, 150])
+def test_sketches_tell_only_unlike_lines_apart(spark, n_words):
+    """Lines at the limit of similarity have sketches alike, lines that share nothing have not."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(n_words)
+    rows = []
+    for k in range(200):
+        line = words(rng, n_words)
+        one = list(line)
+        for at in rng.sample(range(len(one)), len(one) * 15 // 100):
+            one[at] = "z"
+        rows += [(3 * k, line), (3 * k + 1, "".join(one)), (3 * k + 2, words(rng, n_words))]
+    s = linededup.with_sketch(spark.createDataFrame(rows, "node long, norm string"))
+    other = s.select(*[F.col(c).alias(f"other_{c}") for c in s.columns])
+    met = s.join(other, (F.col("other_node") > F.col("node")) & (F.floor(F.col("node") / 3) == F.floor(F.col("other_node") / 3)) & (F.col("node") % 3 == 0))
+    alike = [(r.node, r.other_node) for r in met.where(linededup._sketches_alike()).collect()]
+    assert sum(b - a == 1 for a, b in alike) == 200 and sum(b - a == 2 for a, b in alike) < 20
