@@ -811,3 +811,44 @@ def test_sketches_tell_only_unlike_lines_apart(spark, n_words):
     met = s.join(other, (F.col("other_node") > F.col("node")) & (F.floor(F.col("node") / 3) == F.floor(F.col("other_node") / 3)) & (F.col("node") % 3 == 0))
     alike = [(r.node, r.other_node) for r in met.where(linededup._sketches_alike()).collect()]
     assert sum(b - a == 1 for a, b in alike) == 200 and sum(b - a == 2 for a, b in alike) < 20
+
+
+def test_places_of_windows_are_those_of_their_beginnings(spark):
+    """A window that also stands inside a word has the place where it begins; one that begins twice has none."""
+    w = "stuvwxyzstu"
+    rows = spark.createDataFrame([(0, f"ab{w} {w} b"), (1, f"{w} {w} b")], "node long, norm string").selectExpr("node", "rpad(norm, 60, ' cd ef') AS norm")
+    key = rows.selectExpr(f"first(xxhash64('{w}', 3) & ~65535L) AS k").first().k
+    found = {r.node: {p & 0xFFFF for p in r.picks if p & ~0xFFFF == key} for r in linededup.with_picks(rows).collect()}
+    assert found == {0: {len(w) + 3}, 1: {linededup._PLACE}}
+
+
+def test_windows_are_counted_in_one_pass(spark, monkeypatch):
+    """However many parts window keys are joined in, crowded ones are found, kept and tried with hubs once."""
+    written = []
+    keep = linededup.materialise
+    monkeypatch.setattr(linededup, "materialise", lambda df, tag, *a, **k: written.append(tag) or keep(df, tag, *a, **k))
+    rng = random.Random(32)
+    common = "".join(rng.choice("abcdefgh") for _ in range(11))
+    named = spark.createDataFrame([(k, f"{common} {words(rng, 15)}") for k in range(linededup.CROWD + 8)], "node long, norm string")
+    lines = keep(linededup.with_picks(named).join(linededup.with_sketch(named), "node"), "test-lines")
+    many = linededup.window_pairs(lines, 0.85)[1]
+    assert {r.mates for r in many.collect()} == {linededup.CROWD + 8} and many.count() % (linededup.CROWD + 8) == 0
+    assert len(written) <= linededup.PARTS + 4
+
+
+def test_every_line_has_grams(spark):
+    """Long lines of a few words over and over, and short ones, keep their row whatever their windows' hashes."""
+    rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * 400) for k in range(100)] + [(1000, "abc"), (1001, "日本")]
+    got = {r.node: (r.size, len(r.grams)) for r in linededup.with_grams(spark.createDataFrame(rows, "node long, norm string")).collect()}
+    assert len(got) == len(rows) and all(0 < n < linededup.GRAMS for _, n in got.values()) and got[1001][0] == 2 and got[0][0] == 1200
+
+
+def test_sizes_that_fit_meet_in_crowded_windows(spark):
+    """Pairs of a crowded window whose sizes are as far apart as similar lines' may be are made, others are not."""
+    lines = [(k, "x", 57 + k, 0) for k in range(80)]
+    rows = spark.createDataFrame([(7, len(lines), node, size, place) for node, _, size, place in lines], "key long, mates long, node long, size int, place int")
+    sketches = rows.selectExpr("node", "cast(0 AS short) AS bits", *[f"0L AS {s}" for s in linededup._SKETCH[1:]])
+    linker = linededup.Linker(spark.createDataFrame([], "node long, sim long"), lambda nodes: nodes, 3, 0.85)
+    got = {(r.a, r.b) for r in linker.crowded_pairs(rows, sketches, 80).collect()}
+    fits = lambda x, y: y - x <= int(y * 0.15 + 1e-9)
+    assert got == {(a, b) for (a, _, x, _), (b, _, y, _) in combinations(lines, 2) if fits(x, y)}
