@@ -852,3 +852,64 @@ def test_sizes_that_fit_meet_in_crowded_windows(spark):
     got = {(r.a, r.b) for r in linker.crowded_pairs(rows, sketches, 80).collect()}
     fits = lambda x, y: y - x <= int(y * 0.15 + 1e-9)
     assert got == {(a, b) for (a, _, x, _), (b, _, y, _) in combinations(lines, 2) if fits(x, y)}
+
+
+def test_long_pairs_are_compared_by_exact_bounds(spark):
+    """Pieces, chunks and thinned texts decide as the whole edit distance does, whatever is put in, left out or moved, and whichever text comes first."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(41)
+    rows = []
+    for k in range(240):
+        line = "ab " * 90 if k % 8 == 7 else " ".join(rng.choice(("the", "tion", "ing", "and", "über", "日本", rng.choice("xyz") * 3)) for _ in range(rng.choice((40, 80, 200))))
+        if k % 8 == 6:
+            line = "".join(x if x.isascii() else "z" for x in line)
+        one = list(line)
+        for _ in range(int(len(one) * rng.choice((0, 0.02, 0.08, 0.13, 0.15, 0.16, 0.2, 0.4)))):
+            at = rng.randrange(len(one))
+            one[at : at + rng.randint(0, 1)] = [rng.choice("abcdé ")] * rng.randint(0, 1)
+        if k % 5 == 0:
+            at, n = rng.randrange(len(one)), int(len(line) * rng.choice((0.1, 0.14, 0.3)))
+            one = one[:at] + one[at + n :] if k % 2 else one[:at] + list(words(rng, n // 4))[:n] + one[at:]
+        rows.append((k, line, "".join(one)) if k % 3 else (k, "".join(one), line))
+    pairs = spark.createDataFrame(rows, "k long, norm_a string, norm_b string").cache()
+    longer = "greatest(length(norm_a), length(norm_b))"
+    d, most = F.expr("levenshtein(norm_a, norm_b)"), F.expr(f"cast(floor({longer} * 0.15 + 1e-9) as int)")
+    got = pairs.select(d.alias("d"), most.alias("most"), F.expr(longer).alias("n"), F.expr(linededup._pieced("norm_a", "norm_b")).alias("pieced"), F.expr(linededup._chunks_found("norm_a", "norm_b", f"cast(floor({longer} * 0.15 + 1e-9) as int)")).alias("found"), linededup._similar("norm_a", "norm_b", 0.85).alias("similar")).collect()
+    assert all(r.similar == (r.d <= r.most) and r.pieced >= r.d and (r.found or r.d > r.most) for r in got)
+    alike = [r for r in got if r.similar and r.n >= linededup.PIECED]
+    assert sum(r.pieced <= r.most for r in alike) > len(alike) / 2 and any(not r.found for r in got) and any(r.similar != (r.pieced <= r.most) for r in got if r.similar)
+
+
+def test_short_lines_at_the_limit_have_sketches_alike(spark):
+    """Lines of fewer than SHORT characters that are similar are never told apart, and most others are."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(42)
+    rows = []
+    for k in range(300):
+        line = "".join(rng.choice("abcdeé 日") for _ in range(rng.randint(7, linededup.SHORT - 1)))
+        one = list(line)
+        for at in rng.sample(range(len(one)), int(len(one) * 0.15)):
+            one[at] = rng.choice("xyß")
+        rows += [(3 * k, line), (3 * k + 1, "".join(one)), (3 * k + 2, "".join(rng.choice("fghijklm ") for _ in range(len(line))))]
+    lines = spark.createDataFrame(rows, "node long, norm string")
+    s = linededup.with_sketch(lines).join(lines.select("node", F.length("norm").alias("size")), "node")
+    assert s.where("bits >= 0").isEmpty()
+    other = s.select(*[F.col(c).alias(f"other_{c}") for c in s.columns])
+    met = s.join(other, (F.col("other_node") > F.col("node")) & (F.floor(F.col("node") / 3) == F.floor(F.col("other_node") / 3)) & (F.col("node") % 3 == 0))
+    alike = [(r.node, r.other_node) for r in met.where(linededup._sketches_alike(0.85)).collect()]
+    assert sum(b - a == 1 for a, b in alike) == 300 and sum(b - a == 2 for a, b in alike) < 15
+
+
+def test_verification_takes_no_grams(spark, monkeypatch):
+    """Similar pairs that share no gram are kept: the edit distance decides on every candidate."""
+    rng = random.Random(43)
+    line = "".join(rng.choice("abcdefgh") for _ in range(210))
+    other = "".join("z" if k % 7 == 3 else x for k, x in enumerate(line))
+    texts = spark.createDataFrame([(0, line), (1, other)], "node long, norm string")
+    linker = linededup.Linker(spark.createDataFrame([], "node long, sim long"), lambda nodes: texts.join(nodes, "node"), 3, 0.85)
+    grams = {r.node: set(r.grams) for r in linededup.with_grams(texts).collect()}
+    assert len(grams[0] & grams[1]) < linededup.SHARED
+    linker.verify(spark.createDataFrame([(0, 1)], "a long, b long"))
+    assert [(r.a, r.b) for r in linker.links.collect()] == [(0, 1)]
